@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quern.llm import warc
+from quern.llm import mixing, shards, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_shards": shards.op2_shards,
+    "op6_mixing": mixing.op6_mixing,
 }
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
+    "op6_mixing": mixing.OP6_SQL,
 }
