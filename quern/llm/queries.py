@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from quern.llm import mixing, shards, warc
+from quern.llm import bpe, chat, mixing, shards, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_shards": shards.op2_shards,
+    "op5_chat": chat.op5_chat,
     "op6_mixing": mixing.op6_mixing,
+    "op7_bpe": bpe.op7_bpe,
+    "op9_topk": topk.op9_topk,
 }
 ORACLE_SQL = {
     "op1_warc": warc.OP1_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op9_topk": topk.OP9_SQL,
 }
