@@ -30,7 +30,8 @@ def windows(turns: DataFrame, *, budget: int = 512, history: int = 128, history_
     P to P + n lies in cell a = P / room up to cell b = (P + n - 1) / room.  Turns of equal (a, b) form a window: those
     within one cell fit in together, and one that reaches over a border, of whatever length, is a window of its own.
     So no turn is cut, windows depend on prefix sums only, and each begins with the system turn (a first turn of that
-    role) and up to ``history_turns`` preceding turns of ``history`` tokens in all, both repeated without loss.  The
+    role) and up to ``history_turns`` preceding turns, of ``history`` tokens or what the budget spares, both repeated
+    without loss.  Only a turn that alone exceeds the budget makes a window that does.  The
     spans of ``loss`` (code points, end exclusive) are the texts of new assistant turns.
     """
     x = only(turns, "conv_id", "turn", "role", "text").withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
@@ -51,12 +52,17 @@ def windows(turns: DataFrame, *, budget: int = 512, history: int = 128, history_
     x = x.withColumn("b", F.when(F.col("system"), F.coalesce(F.lead("b").over(order), F.col("b"))).otherwise(F.col("b")))
     past = F.collect_list(F.struct("before", "system", "seg")).over(order.rowsBetween(-history_turns, -1))
     starts = (F.col("i") == 1) | (F.lag("a").over(order) != F.col("a")) | (F.lag("b").over(order) != F.col("b"))
-    x = x.withColumn("past", F.when(starts, F.filter(past, lambda h: ~h.system & (F.col("before") - h.before <= history))))
+    x = x.withColumn("past", F.when(starts, past))
     x = x.groupBy("conv_id", "a", "b").agg(
         F.sort_array(F.collect_list(F.struct("i", "chars", F.length("head").alias("h"), F.length("body").alias("t"), (F.col("role") == "assistant").alias("asks"), "seg"))).alias("new"),
         F.min_by("past", "i").alias("past"),
         F.first("sys_seg").alias("sys_seg"),
+        F.min("before").alias("from"),
+        F.sum("n").alias("own"),
     )
+    spare = F.lit(budget) - F.ceil(F.octet_length("sys_seg") / F.lit(token_bytes)) - F.col("own")
+    x = x.withColumn("spare", F.least(F.lit(history), spare))
+    x = x.withColumn("past", F.filter("past", lambda h: ~h.system & (F.col("from") - h.before <= F.col("spare"))))
     x = x.withColumn("sys_seg", F.when(F.col("new")[0].i == 1, F.lit("")).otherwise(F.col("sys_seg")))
     x = x.withColumn("prefix", F.concat("sys_seg", F.array_join(F.transform("past", lambda h: h.seg), "")))
     start = lambda t: F.length("prefix") + t.chars - F.col("new")[0].chars + t.h
@@ -71,7 +77,8 @@ def windows(turns: DataFrame, *, budget: int = 512, history: int = 128, history_
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (role, text), loss (text under the mask, unescaped), formatted_chars, from windows() alone."""
-    new = F.slice(F.split("formatted", r"<\|turn\|>", -1), F.col("context") + 2, F.lit(2**31 - 1))
+    parts = F.split("formatted", r"<\|turn\|>", -1)  # before the first mark there is nothing
+    new = F.slice(parts, F.col("context") + 2, F.size(parts))
     turn = lambda s: F.struct(unescaped(F.substring_index(s, SAYS, 1)).alias("role"), unescaped(F.substring_index(F.substring_index(s, SAYS, -1), END, 1)).alias("text"))
     x = formatted.select(
         "conv_id",
