@@ -82,3 +82,9 @@ def skew_lookup(left: DataFrame, right: DataFrame, key: str, count: str, total:
     x = x.withColumn("_s", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(salt).bitwiseOR(F.lit(1).cast("long"))))
     x = x.join(light, (F.col(key) == F.col("_lk")) & (F.col("_s") == F.col("_ls")), "left")
     return x.select(*(F.col(f"`{c}`") for c in left.columns), *(F.coalesce(F.col(f"_h_{c}"), F.col(f"_l_{c}")).alias(c) for c in values))
+
+
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with these columns computed once a row: an inline() stands between them and whatever uses them, so the
+    optimizer can't copy their expressions into each use, nor into lambdas, which would compute them per element."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
