@@ -42,7 +42,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 #: Branches of less importance go; within the main element, those of a tenth of it.
-LEAST = 0.2
+LEAST = 0.5
 #: A style node is judged from so many different pages of its host, and from this share of them.
 PAGES, SHARE = 8, 0.1
 #: Weight of what a branch says against how it is laid out, by the power of its height.
