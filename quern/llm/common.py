@@ -88,3 +88,13 @@ def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with these columns computed once a row: an inline() stands between them and whatever uses them, so the
     optimizer can't copy their expressions into each use, nor into lambdas, which would compute them per element."""
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """These columns of ``df`` and all of them as the struct ``_row``: an operator's own columns can't clash with others."""
+    return df.select(*(F.col(f"`{n}`") for n in names), F.struct(*(F.col(f"`{n}`") for n in df.columns)).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``_row``, some of them replaced."""
+    return df.select(*(changed.get(n, F.col("_row").getField(n)).alias(n) for n in columns))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from quern.llm.common import only, skew_lookup, staged, table
+from quern.llm.common import only, packed, skew_lookup, staged, table, unpacked
 from quern.llm.components import components
 
 N, PERCENT = 4, 85
@@ -286,8 +286,10 @@ def linked(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     return x.select("class", "n", "grams", "root", pack.alias("pack")).groupBy("pack").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``.
+def grouped(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class, n) of every row of ``docs``, and (class, copies, component_id, winner) of every class with shingles.
+
+    ``component_id`` is the least doc_id of the class's component and ``winner`` one class of it that has that doc_id.
 
     Sets come from whole texts; equal sets are one class from there on.  Vertical partitioning serves twice.  First the
     global order of all n-grams is cut into fragments, where those that two batches have are counted, and the counts
@@ -296,7 +298,7 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     fragment are counted separately and summed per pair, exactly.  N-grams are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    sets = staged(sets_of(docs, n), "sets")
+    sets = staged(sets_of(docs, n), "sets")  # equal sets are one class from here on
     total = sets.agg(F.sum("n")).first()[0] or 0
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # At most so many that a batch still has some dozen entries for each.
@@ -309,14 +311,52 @@ def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> D
     clusters = components(coarse(close, percent))
     roots = components(linked(close, clusters, percent))
     ids = classes.join(roots.select(F.col("node").alias("class"), "root"), "class")
-    least = staged(ids.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("classes")), "least")
-    ids = skew_lookup(ids.select("class", "root"), least, "root", "classes", roots.count(), F.col("class"))
-    ids = staged(classes.join(ids.select("class", "least"), "class", "left").select("class", F.coalesce("least", "rep").alias("component_id"), "copies"), "component-ids")
+    named = F.struct(F.col("rep").isNull().alias("none"), "rep", "class")
+    least = staged(ids.groupBy("root").agg(F.min(named).alias("least"), F.count("*").alias("classes")), "least")
+    ids = skew_lookup(ids.select("class", "root"), least, "root", "classes", roots.count(), F.col("class")).select("class", "least")
+    ids = classes.join(ids, "class", "left").select("class", "copies", F.coalesce("least", named).alias("l"))
+    return sets, staged(ids.select("class", "copies", F.col("l.rep").alias("component_id"), F.col("l.class").alias("winner")), "component-ids")
+
+
+def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``."""
+    sets, ids = grouped(docs, n=n, percent=percent)
     keyed = sets.withColumn("class", F.when(F.col("n") > 0, F.col("class")))
     x = skew_lookup(keyed, ids, "class", "copies", sets.count(), F.xxhash64("doc_id"))
     return x.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component, that of its least doc_id; rows without words all stay.
+
+    Where a doc_id has several rows, a row stays if its own text has the winning class, and of equal classes under one
+    doc_id the first text.
+    """
+    sets, ids = grouped(docs, n=n, percent=percent)
+    win = ids.where(F.col("class") == F.col("winner")).select(F.col("component_id").alias("_id"), F.col("class").alias("_class"))
+    several = staged(sets.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("_several")), "several")
+    stay = win.select("_id").unionByName(sets.where("n = 0").select(F.col("doc_id").alias("_id"))).distinct()
+    stay = staged(stay.join(several, F.col("_id").eqNullSafe(F.col("_several")), "left_anti"), "stay")
+    x = packed(docs, "doc_id")
+    once = unpacked(x.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), docs.columns)
+    y = packed(docs, "doc_id", "text").join(several, F.col("doc_id").eqNullSafe(F.col("_several")), "left_semi")
+    # A struct does not pass through Python: the rows' texts do, and meet their classes again.
+    texts = y.select("doc_id", "text").distinct()
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for b in batches:
+            made = [shingles(t.as_py() or "", known, n) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([class_of(s) if len(s) else None for s in made], pa.binary())], names=["t_id", "t_text", "t_class"])
+
+    texts = texts.mapInArrow(classed, "t_id long, t_text string, t_class binary")
+    y = y.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("text").eqNullSafe(F.col("t_text")))
+    none = y.where("t_class is null")
+    first = F.row_number().over(W.partitionBy("doc_id", "t_class").orderBy("text"))
+    some = y.where("t_class is not null").join(win, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t_class") == F.col("_class"))).withColumn("_first", first).where("_first = 1")
+    return once.unionByName(unpacked(none, docs.columns)).unionByName(unpacked(some, docs.columns))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by the Jaccard similarity of their 4-word shingles.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import HEAVY_SHARE, WORD, only, skew_lookup, staged, table
+from quern.llm.common import HEAVY_SHARE, WORD, only, packed, skew_lookup, staged, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -61,9 +61,9 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST,
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is copied, with the columns of ``docs``."""
-    x = copies(docs, weights, most, seed).where("copies > 0")
+    x = copies(packed(docs, "doc_id", "text", "source"), weights, most, seed).where("copies > 0")
     x = x.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return only(x, *docs.columns)
+    return unpacked(x, docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import only, pinned, table, words
+from quern.llm.common import only, packed, pinned, table, unpacked, words
 
 #: Buckets of the hashed n-grams: the model has so many numbers whatever the size of the corpus.
 BUCKETS = 1 << 14
@@ -95,6 +95,11 @@ def judged(docs: DataFrame, labels: DataFrame, *, threshold: int = THRESHOLD, bu
     return x.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= F.col("n_grams") * threshold))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they are."""
+    return unpacked(judged(packed(docs, "doc_id", "text"), labels).where("kept"), docs.columns)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of every document.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import only, pinned, table
+from quern.llm.common import only, packed, pinned, table, unpacked
 
 # Fixed values of the contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -189,19 +189,23 @@ def listed(kinds: tuple[str, ...]) -> Column:
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its texts, or run of overlapping ones, replaced by ``mark``; no row is dropped.
 
-    A null text stays null, and a text without secrets stays as it is.
+    A null text stays null, and a text without secrets stays as it is.  ``n_chars``, where there is one, follows the text.
     """
-    x = scanned(docs.withColumn("_null", F.col("text").isNull()))
+    x = scanned(packed(docs, "text"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         new = F.concat(acc.out, F.substring(F.col("text"), acc.at + 1, s.start - acc.at), F.lit(mark))
         return F.struct(F.greatest(acc.at, s.end).alias("at"), F.when(s.start >= acc.at, new).otherwise(acc.out).alias("out"))
 
-    spans = pinned(x, _spans=in_order(KINDS))
+    x = pinned(x, _spans=in_order(KINDS))
     done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc.out, F.substring(F.col("text"), acc.at + 1, F.length("text"))))
-    text = F.when(F.col("_null"), F.lit(None).cast("string")).when(F.size("_spans") == 0, F.col("text")).otherwise(done)
-    return only(spans.withColumn("text", text), *docs.columns)
+    old = F.col("_row").getField("text")
+    x = pinned(x, _text=F.when(old.isNotNull() & (F.size("_spans") > 0), done).otherwise(old))
+    changed = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row").getField("n_chars"))
+    return unpacked(x, docs.columns, **changed)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
