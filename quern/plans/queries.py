@@ -194,12 +194,12 @@ def dtype_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, "lines")
     e.create_table("lines", TableSchema("key", {"key": ColumnSchema("utf8")} | {n: ColumnSchema(t) for n, t in types.items()}))
     x = table(spark, sf_dir, "lineitem")
-    e.write("lines", x.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), *(v.cast(DTYPES[types[n]].spark).alias(n) for n, v in values.items())))
+    e.write("lines", x.select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_extendedprice", "l_returnflag", "l_linestatus").alias("key"), *(v.cast(DTYPES[types[n]].spark).alias(n) for n, v in values.items())))
     return e.scan("lines").drop("key").groupBy("s", "b", "u8").agg(F.count("*").alias("n"), F.sum("u16").alias("u16"), F.sum("u32").alias("u32"), F.max("u64").cast("long").alias("u64"), F.min("i8").alias("i8"), F.min("i16").alias("i16"), F.min("i32").alias("i32"), F.sum("i64").alias("i64"), F.max("f32").alias("f32"), F.max("f64").alias("f64"))
 
 
 MATRIX = """
-WITH d AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) * FROM lineitem)
+WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_discount, l_extendedprice, l_returnflag, l_linestatus FROM lineitem)
 SELECT l_linestatus AS s, l_returnflag = 'R' AS b, l_linenumber::SMALLINT AS u8, count(*) AS n, sum(l_partkey)::BIGINT AS u16,
        sum(l_orderkey)::BIGINT AS u32, max(l_orderkey) AS u64, min(-l_linenumber)::TINYINT AS i8, min(-l_linenumber)::SMALLINT AS i16,
        min(-l_orderkey)::INTEGER AS i32, sum(-l_orderkey)::BIGINT AS i64, max(l_discount::FLOAT) AS f32, max(l_extendedprice) AS f64
