@@ -74,11 +74,12 @@ def tail(z: Column) -> Column:
     return F.exp(-0.717 * F.abs(z) - 0.416 * z * z)
 
 
-def p_random(v: Column, k: Column, classes: Column) -> Column:
-    """Fisher's combination of four tests of the codes ``v`` against independent uniform draws from 0 to k - 1.
+def p_random(v: Column, k: Column, classes: Column, kinds: Column) -> Column:
+    """Fisher's combination of five tests of the codes ``v`` against independent uniform draws from 0 to k - 1.
 
     Chi-squared uniformity over the alphabet (by its exact mean and variance, so that few draws are no harm) and over
-    the classes of characters (``classes``: shares and counts), runs above and below the middle, and serial correlation.
+    the classes of characters (``classes``: shares and counts), runs above and below the middle, runs of one class
+    (``kinds``: the class of each character), and serial correlation.
     """
     n = F.size(v).cast("double")
     chi = k / n * total(F.transform(F.array_distinct(v), lambda d: F.pow(F.size(F.filter(v, lambda x: x == d)).cast("double"), F.lit(2.0)))) - n
@@ -93,9 +94,12 @@ def p_random(v: Column, k: Column, classes: Column) -> Column:
     mean = 2 * high * (n - high) / n + 1
     spread = (mean - 1) * (mean - 2) / (n - 1)
     z_runs = F.when(spread > 0, (runs - mean) / F.sqrt(spread)).otherwise(F.lit(9.0))
+    same = total(F.transform(classes, lambda c: c.share * c.share))
+    turns = total(F.zip_with(F.slice(kinds, 1, F.size(v) - 1), F.slice(kinds, 2, F.size(v) - 1), lambda x, y: F.when(x != y, 1.0).otherwise(0.0)))
+    z_turns = (turns - (n - 1) * (1 - same)) / F.sqrt((n - 1) * same * (1 - same))
     z_serial = total(F.zip_with(a, b, lambda x, y: (x - middle) * (y - middle))) / ((k * k - 1) / 12) / F.sqrt(n - 1)
-    y = -(F.ln(tail(z_chi)) + F.ln(tail(z_class)) + F.ln(tail(z_runs)) + F.ln(tail(z_serial)))
-    return F.exp(-y) * (1 + y + y * y / 2 + y * y * y / 6)
+    y = -(F.ln(tail(z_chi)) + F.ln(tail(z_class)) + F.ln(tail(z_runs)) + F.ln(tail(z_turns)) + F.ln(tail(z_serial)))
+    return F.exp(-y) * (1 + y + y * y / 2 + F.pow(y, F.lit(3.0)) / 6 + F.pow(y, F.lit(4.0)) / 24)
 
 
 def tested(run: Column) -> Column:
@@ -111,7 +115,8 @@ def tested(run: Column) -> Column:
         codes = F.transform(F.split(body, ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
         count = lambda s, one: F.regexp_count(s, F.lit(one)).cast("double")
         classes = F.filter(F.array(*(F.struct((count(alphabet, one) / k).alias("share"), count(body, one).alias("count")) for one in ("[0-9]", "[A-Z]", "[a-z]"))), lambda c: c.share > 0)
-        return bind(codes, lambda v: p_random(v, k, classes))
+        kinds = F.transform(F.split(body, ""), lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[A-Z]"), 1).otherwise(2))
+        return bind(codes, lambda v: p_random(v, k, classes, kinds))
 
     p = F.when(case.isNotNull(), bind(case, test))
     n = F.length(run)
