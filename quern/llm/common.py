@@ -46,10 +46,19 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: it survives lost executors and cuts the lineage."""
+#: Rows of a file of a staged table whose rows are few and short.
+FILE_ROWS = 100_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: it survives lost executors and cuts the lineage.
+
+    ``rows``: how many (short) rows there are at most, if known; then few rows are not spread over many small files.
+    """
     spark = df.sparkSession
     path = new_dir(spark, name)
+    if rows is not None and (files := rows // FILE_ROWS + 1) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

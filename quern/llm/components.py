@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     maps: list[DataFrame] = []
     while n := edges.count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"), F.count("*").alias("degree")).select(F.col("a").alias("node"), "to", "degree"), "pointers")
+        to = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"), F.count("*").alias("degree")).select(F.col("a").alias("node"), "to", "degree"), "pointers", 2 * n)
         maps.append(to)
         left = skew_lookup(edges, to.select(F.col("node").alias("a"), F.col("to").alias("ta"), F.col("degree").alias("da")), "a", "da", 2 * n, F.col("b"))
         left = left.select("ta", "b")
@@ -32,9 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
     roots = maps[-1].select("node", F.col("to").alias("root"))
     for to in reversed(maps[:-1]):
         # How many nodes point to a node is at most one more than its degree in that round's graph.
-        to = to.select("node", "to")
+        n, to = to.count(), to.select("node", "to")
         count = to.groupBy("to").agg(F.count("*").alias("pointing"))
         known = count.join(roots.select(F.col("node").alias("to"), "root"), "to", "left")
-        found = skew_lookup(to, staged(known.select("to", F.coalesce("root", "to").alias("root"), "pointing"), "roots"), "to", "pointing", to.count(), F.col("node"))
+        found = skew_lookup(to, staged(known.select("to", F.coalesce("root", "to").alias("root"), "pointing"), "roots", n), "to", "pointing", n, F.col("node"))
         roots = found.select("node", "root")
-    return staged(roots, "components")
+    return staged(roots, "components", maps[0].count())

@@ -245,13 +245,14 @@ def linked(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     The members of a cluster are dealt into blocks of about BLOCK; each pair of blocks is a group, small clusters share
     one.  A group counts all its pairs' overlaps and returns a spanning forest of its links, not the links.
     """
+    members = clusters.count()
     sized = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    x = skew_lookup(clusters.withColumnRenamed("node", "class"), staged(sized, "cluster-sizes"), "root", "members", clusters.count(), F.col("class"))
+    x = skew_lookup(clusters.withColumnRenamed("node", "class"), staged(sized, "cluster-sizes", members), "root", "members", members, F.col("class"))
     x = sets.select("class", "n", F.transform("shared", lambda s: s.gram).alias("grams")).join(x, "class")
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     x = x.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    packs = max(1, ceil(clusters.count() / BLOCK))
+    packs = max(1, ceil(members / BLOCK))
     pack = F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(packs)))).otherwise(F.concat_ws(":", F.hex("root"), F.least("block", "other"), F.greatest("block", "other")))
 
     def run(rows):
@@ -303,17 +304,18 @@ def grouped(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> tuple[Dat
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # At most so many that a batch still has some dozen entries for each.
     fragments = max(1, min(max(ceil(total / ENTRIES), min(parallel, ceil(total / LEAST_ENTRIES))), BATCH_BYTES // 256))
-    live = staged(promising(counted(fragments_of(docs, fragments, n)), percent), "promising")
+    live = staged(promising(counted(fragments_of(docs, fragments, n)), percent), "promising", sets.count())
     classes = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = staged(classes, "classes")
     texts = staged(chosen_sets(docs, classes.join(live, "class").select("rep", "class"), n), "chosen")
     close = staged(with_shared(texts, percent), "shared")
     clusters = components(coarse(close, percent))
     roots = components(linked(close, clusters, percent))
+    linked_classes = roots.count()
     ids = classes.join(roots.select(F.col("node").alias("class"), "root"), "class")
     named = F.struct(F.col("rep").isNull().alias("none"), "rep", "class")
-    least = staged(ids.groupBy("root").agg(F.min(named).alias("least"), F.count("*").alias("classes")), "least")
-    ids = skew_lookup(ids.select("class", "root"), least, "root", "classes", roots.count(), F.col("class")).select("class", "least")
+    least = staged(ids.groupBy("root").agg(F.min(named).alias("least"), F.count("*").alias("classes")), "least", linked_classes)
+    ids = skew_lookup(ids.select("class", "root"), least, "root", "classes", linked_classes, F.col("class")).select("class", "least")
     ids = classes.join(ids, "class", "left").select("class", "copies", F.coalesce("least", named).alias("l"))
     return sets, staged(ids.select("class", "copies", F.col("l.rep").alias("component_id"), F.col("l.class").alias("winner")), "component-ids")
 
