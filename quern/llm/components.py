@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         left = skew_lookup(edges, to.select(F.col("node").alias("a"), F.col("to").alias("ta"), F.col("degree").alias("da")), "a", "da", 2 * n, F.col("b"))
         left = left.select("ta", "b")
         both = skew_lookup(left, to.select(F.col("node").alias("b"), F.col("to").alias("tb"), F.col("degree").alias("db")), "b", "db", 2 * n, F.col("ta"))
-        edges = staged(both.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        edges = staged(both.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges", n)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # From the last round back: the root of a node is the root of what it points to, if that has one.
