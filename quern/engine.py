@@ -6,12 +6,14 @@ import os
 import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
+from enum import StrEnum
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.errors import ConfigError
+from quern.functions.dtypes import DTYPES
 from quern.functions.schema import ColumnSchema, TableSchema
 from quern.operators import segments
 from quern.operators.fetch import check_columns, fetch
@@ -19,7 +21,10 @@ from quern.sources import egress, ingest
 from quern.sources.catalog import Catalog
 from quern.sources.files import Files
 
-__all__ = ["ColumnSchema", "Config", "Engine", "TableSchema", "start_local"]
+__all__ = ["ColumnSchema", "Config", "DType", "Engine", "TableSchema", "start_local"]
+
+#: DType.FLOAT32 and so on, for those who prefer names to strings.
+DType = StrEnum("DType", {name.upper(): name for name in DTYPES})
 
 
 @dataclass(frozen=True)

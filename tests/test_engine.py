@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import errors
-from quern.engine import ColumnSchema, Config, Engine, TableSchema
+from quern.engine import ColumnSchema, Config, DType, Engine, TableSchema
 from quern.operators import segments
 from quern.sources import egress, transport
 from quern.streaming.upsert import upsert_stream
@@ -249,6 +249,11 @@ def test_flight(engine):
                 client.do_get(fl.Ticket(bad)).read_all()
 
 
+def test_names_of_types():
+    assert ColumnSchema(DType.FLOAT32) == ColumnSchema("float32") and len(DType) == 12
+    assert json.dumps(TableSchema("k", {"k": ColumnSchema(DType.UTF8)}).to_json()) == json.dumps(TableSchema("k", {"k": ColumnSchema("utf8")}).to_json())
+
+
 def test_config():
     c = Config.load({"root": "/x", "compact_at": 5}, {"QUERN_HTTP_PORT": "9000", "QUERN_COMPACT_AT": "7"})
     assert (c.http_port, c.compact_at, c.root) == (9000, 7, "/x")
