@@ -19,8 +19,8 @@ FREE, NONE = np.int64(-1), np.int32(2**31 - 1)
 #: Widths of the matrices; a piece of more bytes than the last is merged with a heap, whose time is n log n.
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256, 512)
 CELLS = 1 << 18
-CACHED = 150_000
-CHUNK = 1 << 20
+CACHED = 400_000
+CHUNK = 4 << 20
 
 
 class PairTable:
