@@ -60,7 +60,7 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST,
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is copied, with the columns of ``docs``."""
+    """The mix itself: each row of ``docs`` (wordless ones too) as often as it is copied, with the columns of ``docs``."""
     x = copies(packed(docs, "doc_id", "text", "source"), weights, most, seed).where("copies > 0")
     x = x.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return unpacked(x, docs.columns)

@@ -143,7 +143,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A query's own rows are those with its vec_id.  Vectors of different lengths are never compared; two empty ones have
     score 0.  A null vec_id is a candidate, last among ties, and never a query.  Repeated query rows count once, repeated
-    candidates each.  Scores beyond 64 bits are held at its ends.  Empty table: no rows.
+    candidates each.  Scores beyond 64 bits are held at its ends, and so may tie.  Empty table: no rows.
     """
     return top_k(table(spark, sf_dir, "embeddings"))
 
