@@ -123,8 +123,9 @@ def tested(run: Column) -> Column:
     band = F.lit(len(BANDS))
     for i, end in reversed(list(enumerate(BANDS))):
         band = F.when(n <= end, F.lit(i)).otherwise(band)
-    bin_ = F.least(F.lit(BINS - 1), F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-300))))).cast("int")
-    return F.struct(band.alias("band"), F.greatest(F.lit(0), bin_).alias("bin"))
+    # greatest() and least() skip nulls: without the condition an untested run would count as p = 0
+    bin_ = F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-300)))).cast("int")
+    return F.struct(band.alias("band"), F.when(p.isNotNull(), F.least(F.lit(BINS - 1), F.greatest(F.lit(0), bin_))).alias("bin"))
 
 
 def with_runs(x: DataFrame) -> DataFrame:

@@ -173,6 +173,23 @@ def test_battery_tells_random_from_not(spark, tables):
     assert [plain[i - len(random_)] for i in range(len(random_), len(docs)) if got[i]] == []
 
 
+def test_untested_runs_do_not_count(spark):
+    """cleared() against a plain step-up over the runs that an encoding fits, among many that none fits."""
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = ["".join(rng.choices(alphabet, k=n)) + "a7" for n in (18, 22, 30, 38, 62, 118) for _ in range(40)] + ["SomeCamelCaseIdentifierNumber42", "Version2BetaReleaseCandidate3Final"]
+    none = [f"some/path/to/a/file/named/chapter{i}" for i in range(600)] + [f"a-name-of-many-parts-{i}" for i in range(600)] + [f"short1short2short3{i:03}" for i in range(100)]
+    x = spark.createDataFrame([(t,) for t in some + none], "text string")
+    bins = {r.text: (r.t.band, r.t.bin) for r in x.select("text", secrets.tested(x.text).alias("t")).collect()}
+    assert all(bins[t][1] is None for t in none) and all(bins[t][1] is not None for t in some)
+    want = []
+    for band in range(len(secrets.BANDS) + 1):
+        mine = [bins[t][1] for t in some if bins[t][0] == band]
+        passed = [b for b in range(secrets.BINS) if mine and any(m >= b for m in mine) and 10 ** (-b / 4) <= secrets.RATE * sum(m >= b for m in mine) / len(mine)]
+        want.append(min(passed, default=secrets.BINS))
+    assert secrets.cleared(secrets.with_runs(x)) == want
+
+
 def test_redacted(spark, tables, docs, sample):
     docs = docs + [(90, 'x password = "abcdefghijkl0123" y', "en", "s", 33)] + [(100 + i, t, "en", "s", len(t or "")) for i, t in sample]
     x = spark.read.parquet(tables(True, documents=docs) + "/documents.parquet")
