@@ -14,10 +14,12 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "random")
 
-#: Candidates of the battery: runs of the characters that encodings use, with a letter and a digit among them.
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidates of the battery: the longest runs, with a letter in them, of base64's alphabet, of its form for URLs and of
+#: what both have, so that no name before a '=', prefix or folder hides the value behind it.  '=' only pads a run.
+RUNS = tuple(rf"[{c}]{{20,}}(?:=+(?![A-Za-z0-9+/_=-]))?" for c in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9"))
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: (what the whole run matches, its alphabet in order, least length); the first that matches is the inferred encoding.
+#: (what the whole run matches, its alphabet in order, least length); the first that matches is the inferred encoding, and
+#: where none does, the first that matches the run without its padding.
 ENCODINGS = (
     (r"^[0-9A-F]+$", DIGITS + UPPER[:6], 20),
     (r"^[A-Z2-7]+=*$", UPPER + "234567", 24),
@@ -105,10 +107,11 @@ def p_random(v: Column, k: Column, classes: Column, kinds: Column) -> Column:
 def tested(run: Column) -> Column:
     """band and bin of a run (a struct), null where no encoding is inferred or its least length is missed."""
     body = F.regexp_replace(run, "=+$", "")
-    case = None
-    for pattern, alphabet, least in ENCODINGS:
-        hit = run.rlike(pattern) & (F.length(body) >= least)
-        case = F.when(hit, F.lit(alphabet)) if case is None else case.when(hit, F.lit(alphabet))
+
+    def inferred(said: Column) -> Column:
+        return F.coalesce(*(F.when(said.rlike(pattern) & (F.length(body) >= least), F.lit(alphabet)) for pattern, alphabet, least in ENCODINGS))
+
+    case = F.coalesce(inferred(run), F.when(body != run, inferred(body)))
 
     def test(alphabet: Column) -> Column:
         k = F.length(alphabet).cast("double")
@@ -129,15 +132,30 @@ def tested(run: Column) -> Column:
 
 
 def with_runs(x: DataFrame) -> DataFrame:
-    """``runs``: start, end, band, bin of the candidates that the battery could test."""
-    x = pinned(x, runs=guarded(F.col("text"), RUN, RUN, 0, 20))
-    some = F.transform("runs", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.substring(F.col("text"), s.start + 1, s.end - s.start).alias("run")))
-    x = x.withColumn("runs", F.filter(some, lambda s: s.run.rlike("[0-9]") & s.run.rlike("[A-Za-z]")))
-    x = pinned(x.withColumnRenamed("runs", "_r"), _t=F.transform("_r", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), tested(s.run).alias("t"))))
+    """``runs``: start, end, band, bin of the candidates that the battery could test, by start, longer ones first."""
+    top = (1 << 31) - 1
+    code = lambda s: s.start.cast("long") * (top + 1) + (top - s.end)
+    found = [F.transform(guarded(F.col("text"), pattern.split("(")[0], pattern, 0, 20), code) for pattern in RUNS]
+    x = pinned(x, _c=F.sort_array(F.array_distinct(F.concat(*found))))
+    x = pinned(x, _p=F.transform("_c", lambda c: F.struct(F.shiftright(c, 31).cast("int").alias("start"), (top - c.bitwiseAND(top)).cast("int").alias("end")))).drop("_c")
+    some = F.transform("_p", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.substring(F.col("text"), s.start + 1, s.end - s.start).alias("run")))
+    x = pinned(x, _r=F.filter(some, lambda s: s.run.rlike("[A-Za-z]"))).drop("_p")
+    x = pinned(x, _t=F.transform("_r", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), tested(s.run).alias("t"))))
     flat = F.transform("_t", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.t.band.alias("band"), s.t.bin.alias("bin")))
     return pinned(x, runs=F.filter(flat, lambda s: s.bin.isNotNull())).drop("_r", "_t")
 
 
+def outermost(spans: Column) -> Column:
+    """Of spans by start, longer ones first, those that lie in no other."""
+    empty = F.struct(F.lit(0).alias("end"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        more = F.array_append(acc.out, F.struct(s.start.alias("start"), s.end.alias("end")))
+        return F.struct(F.greatest(acc.end, s.end).alias("end"), F.when(s.end > acc.end, more).otherwise(acc.out).alias("out"))
+
+    return F.aggregate(spans, empty, step, lambda acc: acc.out)
+
+
 def cleared(x: DataFrame) -> list[int]:
     """For each band the least bin that is cleared as not random (BINS: none).
 
@@ -176,7 +194,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     base = F.concat("assign", "access", "hex")
     limit = lambda r: F.get(F.array(*map(F.lit, last)), r.band)
     free = F.filter("runs", lambda r: (r.bin < limit(r)) & ~F.exists(base, lambda s: (s.start < r.end) & (r.start < s.end)))
-    return pinned(x, random=F.transform(free, lambda r: F.struct(r.start.alias("start"), r.end.alias("end")))).drop("runs")
+    return pinned(x, random=outermost(free)).drop("runs")
 
 
 def in_order(kinds: tuple[str, ...]) -> Column:
@@ -218,7 +236,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document.
 
     Null or empty text: no spans.  Null or repeated doc_ids: a row for each row.  Spans of the battery (kind random) that
-    would overlap one of the base kinds are left out.  Empty table: no rows.  Places count code points of the whole text.
+    would overlap one of the base kinds, or lie in another one of the battery, are left out.  Empty table: no rows.  Places count code points of the whole text.
     """
     x = scanned(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
     n = lambda c: F.size(c).cast("long")

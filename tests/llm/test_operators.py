@@ -173,6 +173,23 @@ def test_battery_tells_random_from_not(spark, tables):
     assert [plain[i - len(random_)] for i in range(len(random_), len(docs)) if got[i]] == []
 
 
+def test_battery_finds_values_behind_names_and_prefixes(spark, tables):
+    rng = random.Random(10)
+    mixed, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda a, n: "".join(rng.choices(a, k=n))
+    prefixes = [("SESSION_KEY=", mixed), ("sig=", mixed), ("AWS_ACCESS=", mixed), ("sk_live_", low), ("key-", low), ("some/folder/of/", low), ("a=b=sk_live_", low)]
+    made = [(p, draw(a, n)) for p, a in prefixes for n in (24, 32, 40) for _ in range(6)]
+    made += [("SESSION_KEY=", base64.b64encode(rng.randbytes(n)).decode()) for n in (31, 47) for _ in range(6)]  # padded
+    letters = [("PASS=", draw(mixed[:52], 24)) for _ in range(6)]
+    plain = ["SOME_NAME_OF_A_SETTING=SOME_OTHER_NAME_OF_IT", "the_quick_brown_fox_jumps=over-the-lazy-dogs", "path=some/path/to/a/file/named/chapter1", "internationalizationinternationalization", "--------------------------------", "Some-Header-Name-Of-Many-Words"]
+    texts = [f"é {p}{v} after" for p, v in made + letters] + [f"é {t} after" for t in plain]
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in queries.QUERIES["op4_secrets"](spark, tables(documents=docs)).collect()}
+    found = [got[i] == f"random:{2 + len(p)}:{2 + len(p) + len(v)}" for i, (p, v) in enumerate(made + letters)]
+    assert sum(found[: len(made)]) >= 0.85 * len(made) and sum(found[len(made) :]) >= 4, [(t, got[i]) for i, (t, f) in enumerate(zip(texts, found)) if not f]
+    assert [texts[i] for i in range(len(found), len(texts)) if got[i]] == []
+
+
 def test_untested_runs_do_not_count(spark):
     """cleared() against a plain step-up over the runs that an encoding fits, among many that none fits."""
     rng = random.Random(9)
