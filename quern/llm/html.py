@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html import unescape
 
@@ -43,8 +44,8 @@ HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 #: Branches of less importance go; within the main element, those of a tenth of it.
 LEAST = 0.5
-#: A style node is judged from so many different pages of its host, and from this share of them.
-PAGES, SHARE = 8, 0.1
+#: A style node is judged from so many different pages of its host.
+PAGES = 8
 #: Weight of what a branch says against how it is laid out, by the power of its height.
 DECAY = 0.9
 
@@ -188,12 +189,13 @@ class Tree:
 
 
 def style_tree(pages: DataFrame, least: float = LEAST) -> DataFrame:
-    """host, pages, weak, weakest: keys of the style nodes of little importance in each host's merged tree.
+    """page, copies, weak, weakest: keys of each page's style nodes that are of little importance in its host's merged tree.
 
-    Pages of equal html count once.  A node's content importance is the entropy of its contents over the host's pages,
-    its presentation importance that of its child sequences, both against the logarithm of the pages: 0 if all pages
-    agree, 1 if none do.  A branch of height h weighs content by DECAY ** h, presentation by the rest.  Only nodes on
-    SHARE of the host's pages and on PAGES of them are judged, which bounds the keys of a host by nodes a page / SHARE.
+    ``pages``: host, page (the hash of host and html; null where the host is), html.  Pages of equal html count once.  A
+    node's content importance is the entropy of its contents over the host's pages, its presentation importance that of
+    its child sequences, both against the logarithm of the node's pages: 0 if all pages agree, 1 if none do.  A branch of
+    height h weighs content by DECAY ** h, presentation by the rest.  Every node on PAGES of the host's pages is judged,
+    and what is found goes to the pages by node, nodes of many pages by broadcast: nothing is held by host.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,38 +205,48 @@ def style_tree(pages: DataFrame, least: float = LEAST) -> DataFrame:
                 cols = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "key", "height", "style", "content"])
 
-    x = pages.where("host is not null").select("host", F.xxhash64("html").alias("page"), "html").mapInArrow(parse, NODE)
-    x = x.groupBy("host", "key", "page").agg(F.max("height").alias("height"), F.min("style").alias("style"), F.min("content").alias("content"))
+    known = pages.where("host is not null")
+    x = known.select("host", "page", "html").mapInArrow(parse, NODE).withColumn("node", F.xxhash64("host", "key"))
+    x = staged(x.groupBy("node", "page").agg(F.min("key").alias("key"), F.max("height").alias("height"), F.min("style").alias("style"), F.min("content").alias("content")), "page-nodes")
 
     def entropy(what: str) -> DataFrame:
-        each = x.groupBy("host", "key", what).agg(F.count("*").alias("n"), F.max("height").alias("height"))
-        e = each.groupBy("host", "key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"), F.max("height").alias("height"))
-        h = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.ln("m"))).otherwise(F.lit(1.0))
-        return e.select("host", "key", F.col("m").alias(f"m_{what}"), F.greatest(F.lit(0.0), h).alias(f"h_{what}"), F.col("height").alias(f"height_{what}"))
+        each = x.groupBy("node", what).agg(F.count("*").alias("n"), F.max("height").alias("height"))
+        e = each.groupBy("node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"), F.max("height").alias("height")).where(F.col("m") >= PAGES)
+        h = 1 - F.col("s") / (F.col("m") * F.ln("m"))
+        return e.select("node", F.col("m").alias(f"m_{what}"), F.greatest(F.lit(0.0), h).alias(f"h_{what}"), F.col("height").alias(f"height_{what}"))
 
-    nodes = entropy("content").join(entropy("style"), ["host", "key"])
-    hosts = staged(pages.where("host is not null").groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    nodes = entropy("content").join(entropy("style"), "node")
     weight = F.pow(F.lit(DECAY), F.col("height_content"))
     nodes = nodes.withColumn("importance", weight * F.col("h_content") + (1 - weight) * F.col("h_style"))
-    nodes = staged(nodes.select("host", "key", F.col("m_content").alias("m"), "importance"), "style-nodes")
-    most = nodes.groupBy("host").agg(F.max("m").alias("different"))
-    low = nodes.join(most, "host").where((F.col("importance") < least) & (F.col("m") >= PAGES) & (F.col("m") >= SHARE * F.col("different")))
-    weak = low.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("weak"), F.sort_array(F.collect_list(F.when(F.col("importance") < least / 10, F.col("key")))).alias("weakest"))
-    return hosts.join(weak, "host")
+    # important nodes stay in: skew_lookup must know of every node with many pages
+    judged = staged(nodes.select("node", F.col("m_content").alias("m"), (F.col("importance") < least).alias("low"), (F.col("importance") < least / 10).alias("lowest")), "style-nodes")
+    found = skew_lookup(x.select("node", "page", "key"), judged, "node", "m", x.count(), F.col("page")).where("low")
+    weak = found.groupBy("page").agg(F.sort_array(F.collect_list("key")).alias("weak"), F.sort_array(F.collect_list(F.when(F.col("lowest"), F.col("key")))).alias("weakest"))
+    return known.groupBy("page").agg(F.count("*").alias("copies")).join(weak, "page", "left")
 
 
 def extracted(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """page_id, url, text of every row of ``pages``."""
     x = only(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     x = x.withColumn("host", F.nullif(F.regexp_extract(F.lower("url"), HOST, 1), F.lit("")))
-    x = skew_lookup(x, staged(style_tree(x, least), "style-tree"), "host", "pages", pages.count(), F.col("page_id"))
+    x = x.withColumn("page", F.when(F.col("host").isNotNull(), F.xxhash64("host", "html")))
+
+    def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 512):
+                ids, urls, keys, htmls = b.slice(a, 512).columns
+                yield pa.RecordBatch.from_arrays([ids, urls, keys, pa.array([zlib.compress(h, 1) for h in htmls.to_pylist()], pa.binary())], names=["page_id", "url", "page", "html"])
+
+    # the pages themselves meet their nodes in a shuffle, so they are made small before it
+    small = x.select(F.col("page_id").cast("long"), "url", "page", F.col("html").cast("binary")).mapInArrow(deflate, "page_id long, url string, page long, html binary")
+    x = skew_lookup(small, staged(style_tree(x, least), "style-tree"), "page", "copies", pages.count(), F.col("page_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 ids, urls, htmls, weak, weakest = (c.to_pylist() for c in b.slice(a, 512).columns)
                 sets = lambda keys: frozenset(keys or ())
-                texts = [Tree(h).text(sets(w), sets(v)) for h, w, v in zip(htmls, weak, weakest, strict=True)]
+                texts = [Tree(zlib.decompress(h).decode()).text(sets(w), sets(v)) for h, w, v in zip(htmls, weak, weakest, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return x.select("page_id", "url", "html", "weak", "weakest").mapInArrow(run, "page_id long, url string, text string")

@@ -448,3 +448,14 @@ def test_html_by_site(spark, tables):
     assert [by[i] for i in range(50)] == texts[:50] and by[None] == "z" and by[202] == ""
     assert by[100] == f"Buy now\n\nCall us\n\n{texts[50]}\n\nImprint" and len(got) == len(pages)
     assert all(r.n_chars == len(r.text) for r in got) and sorted(r.url or "" for r in got) == sorted(p[1] or "" for p in pages)
+
+
+@pytest.mark.parametrize("others", [150, 1500])
+def test_html_of_a_section_at_any_host_size(spark, tables, others):
+    rng = random.Random(11)
+    said = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12))
+    texts = [said() for _ in range(40 + others)]
+    pages = [(i, f"http://big.example/{i}", f"<div id=s1><p>Section links</p></div><div id=s2><p>{t}</p></div>") for i, t in enumerate(texts[:40])]
+    pages += [(40 + i, f"http://big.example/{40 + i}", f"<div id=m{i % 3}><p>{t}</p></div><div id=x3>Imprint</div>") for i, t in enumerate(texts[40:])]
+    got = {r.page_id: r.text for r in queries.QUERIES["op10_html"](spark, tables(pages=pages)).collect()}
+    assert [got[i] for i in range(len(texts))] == texts
