@@ -20,7 +20,7 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 CELLS = frozenset(("td", "th", "caption"))
-RAW = frozenset("script style textarea title iframe xmp noframes noembed noscript template svg math object select button head".split())
+RAW = frozenset("script style textarea title iframe xmp noframes noembed noscript template svg annotation annotation-xml object select button head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("nav footer aside form menu dialog search fieldset dir".split())
 MAIN = frozenset(("article", "main"))
@@ -29,10 +29,17 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 NAMES = (
     "ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
-    "footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related "
+    "footer menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related "
     "reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget"
 ).split()
-NAMED = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(NAMES)})(?=$|[\s_-])", re.I)
+#: What may follow a name in a class or id.
+LAYOUT = "area bar block box buttons container content inner left list links outer right section slot top unit wrap wrapper".split()
+#: Whole class tokens that are a name, or end in one, but for those that deny or only mention it.
+NAMED = re.compile(rf"(?:^|\s)(?!(?:no|not|has|have|with|without|hide|show|is)[_-])(?:\S*[_-])?(?:{'|'.join(NAMES)})(?:[_-]+(?:{'|'.join(LAYOUT)}))*(?=$|\s)", re.I)
+#: Names that count outside of article and main only, as a header element does.
+HEADED = re.compile(r"(?:^|\s)(?:(?:site|global|top)[_-]+)?(?:header|masthead)(?=$|\s)", re.I)
+#: The share of an article's text from which a name does not remove a branch of it.
+WHOLE = 0.9
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"
@@ -57,20 +64,43 @@ class Tree:
 
     def __init__(self, html: str):
         self.parent, self.key, self.tag = [-1], [0], [""]
-        self.low, self.main = [False], [False]
+        self.low, self.named, self.main, self.article = [False], [False], [False], [0]
         self.links: list[list[str]] = [[]]
         self.blocks: list[tuple[int, str]] = []
         self._read(html)
+        if any(self.named):
+            self._settle()
 
-    def _open(self, tag: str, name: str, low: bool, up: int) -> int:
+    def _open(self, tag: str, name: str, low: bool, named: bool, up: int) -> int:
         self.parent.append(up)
         self.tag.append(tag)
         self.key.append(xxh3_64_intdigest(f"{self.key[up]} {tag} {name}".encode()) >> 1)
         self.low.append(self.low[up] or low)
+        self.named.append(named)
+        self.article.append(len(self.key) - 1 if tag == "article" else self.article[up])
         self.main.append(self.main[up] or tag in MAIN)
         self.links.append([])
         return len(self.key) - 1
 
+    def _settle(self) -> None:
+        """``low`` also for branches with names, but not for one with most of the page's main elements' text (of its text,
+        where it has none), nor for nearly all of an article: what it is, the tree of the site must tell."""
+        n = len(self.key)
+        said, main = [0] * n, [0] * n
+        for i, text in self.blocks:
+            if not self.low[i]:
+                said[i] += len(text)
+                main[i] += len(text) if self.main[i] else 0
+        for i in range(n - 1, 0, -1):
+            said[self.parent[i]] += said[i]
+            main[self.parent[i]] += main[i]
+        of = main if main[0] else said
+        for i in range(1, n):
+            self.low[i] = self.low[i] or self.low[self.parent[i]]
+            if self.named[i] and not self.low[i]:
+                a = self.article[self.parent[i]]
+                self.low[i] = said[i] < WHOLE * said[a] if a else 2 * of[i] < of[0] or not of[i]
+
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # open block elements
         muted: list[str] = []  # open inline elements that a rule drops
@@ -113,10 +143,10 @@ class Tree:
                         if muted[-1] == tag:
                             muted.append(tag)
                     elif rest:
-                        name, low, link = self._attributes(rest)
+                        name, low, named, link = self._attributes(rest, self.main[stack[-1][1]])
                         if link and tag == "a":
                             self.links[stack[-1][1]].append(link)
-                        if low and not rest.endswith("/"):
+                        if (low or named) and not rest.endswith("/"):
                             muted.append(tag)
                 continue
             muted.clear()
@@ -134,30 +164,31 @@ class Tree:
                         break
                     if stack[i][0] in SCOPES and not (stack[i][0] == "tr" and "tbody" in ended):
                         break
-            name, low, _ = self._attributes(rest) if rest else ("", False, "")
             up = stack[-1][1]
-            low = low and tag not in ("html", "body") and tag not in MAIN or tag in DROPPED or (tag == "header" and not self.main[up])
-            node = self._open(tag, name, low, up)
+            name, low, named, _ = self._attributes(rest, self.main[up]) if rest else ("", False, False, "")
+            may = tag not in ("html", "body") and tag not in MAIN
+            low = low and may or tag in DROPPED or (tag == "header" and not self.main[up])
+            node = self._open(tag, name, low, named and may, up)
             if tag not in VOID:
                 stack.append((tag, node))
         flush()
 
     @staticmethod
-    def _attributes(rest: str) -> tuple[str, bool, str]:
-        """Class and id, whether they, the role or ``hidden`` mark something dropped, and the link."""
-        name, low, link = [], False, ""
+    def _attributes(rest: str, main: bool) -> tuple[str, bool, bool, str]:
+        """Class and id, whether the role or ``hidden`` marks something dropped, whether class or id do, and the link."""
+        name, low, named, link = [], False, False, ""
         for k, a, b, c in ATTRIBUTE.findall(rest):
             k, v = k.lower(), a or b or c
             if k in ("class", "id"):
                 name.append(f"{k}={v}")
-                low = low or bool(NAMED.search(v))
+                named = named or bool(NAMED.search(v)) or not main and bool(HEADED.search(v))
             elif k == "role":
                 low = low or v.lower() in ROLES
             elif k == "hidden":
                 low = True
             elif k == "href":
                 link = v
-        return " ".join(name), low, link
+        return " ".join(name), low, named, link
 
     def features(self) -> list[tuple[int, int, int, int]]:
         """key, height, style (tags of the children), content (texts and links of the branch) of each style node."""

@@ -435,6 +435,25 @@ def test_html_rules(page, text):
     assert html.Tree(page or "").text(frozenset(), frozenset()) == text
 
 
+ARTICLE = "<article><h1>T</h1><p>long text of it</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *((f"<div class='{c}'>{ARTICLE}<div class=sidebar>no</div></div>", "T\n\nlong text of it") for c in ("content no-sidebar", "layout has-sidebar", "social-science", "sidebar", "page with-comments")),
+        ("<article><div class='article-header'><h1>T</h1></div><p>x</p></article>", "T\n\nx"),
+        ("<article><div class='header'><h1>T</h1></div><p>x</p></article>", "T\n\nx"),
+        (f"<div class='site-header'>no</div>{ARTICLE}<div id=comments><article>no</article></div>", "T\n\nlong text of it"),
+        (f"<main><div class='layout sidebar'>{ARTICLE}</div><div class='nav-links'>no</div></main>", "T\n\nlong text of it"),
+        ("<div class=social><p>the text of a page without main elements</p></div><div class='ad-slot'>no</div>", "the text of a page without main elements"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=t>no</annotation></math> is", "so x=2 is"),
+    ],
+)
+def test_html_names_spare_the_article(page, text):
+    assert html.Tree(page).text(frozenset(), frozenset()) == text
+
+
 def test_html_by_site(spark, tables):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=6))
