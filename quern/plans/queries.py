@@ -218,14 +218,19 @@ def sparse_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPARSE = "SELECT d.doc_id AS ord, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"
 
 
-def array_fetch_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extension: values of a list type, through the same plan over any DataFrame."""
+def array_rows(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """The embeddings of ``ids`` (id), in that order, nulls for what is missing."""
     rows = table(spark, sf_dir, "embeddings").select(text("vec_id").alias("key"), "embedding", "vec_id")
-    wanted = spark.range(0, 600, 7).select(F.col("id").alias(ORD), text("id").alias(KEY))
+    wanted = ids.select(F.col("id").alias(ORD), text("id").alias(KEY))
     out = fetch_rows(rows, lambda cut: latest(cut, "key", [F.desc("vec_id")]), "key", wanted)
     return out.select(F.col(ORD).alias("ord"), F.size("embedding").alias("n"), F.element_at("embedding", 1).alias("first"))
 
 
+def array_fetch_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: values of a list type, through the same plan over any DataFrame."""
+    return array_rows(spark, sf_dir, spark.range(0, 600, 7))
+
+
 ARRAYS = """
 SELECT r.range AS ord, coalesce(len(embedding), NULL)::INTEGER AS n, embedding[1] AS first FROM range(0, 600, 7) r LEFT JOIN embeddings ON vec_id = r.range
 """

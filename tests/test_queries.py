@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from quern.plans.queries import ORACLE_SQL, QUERIES
+from quern.plans.queries import ORACLE_SQL, QUERIES, array_rows, numbered, with_orders
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +30,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_arrays_of_every_id(spark, sf_dir, con):
+    """The SQL of array_fetch_ext fixes its ids; here they are all of the table, and as many that are missing."""
+    last = con.execute("SELECT max(vec_id) FROM embeddings").fetchone()[0]
+    got = sorted(tuple(r) for r in array_rows(spark, sf_dir, spark.range(0, 2 * last + 2)).select("ord", "n", "first").collect())
+    assert got == con.execute(f"SELECT r.range, len(embedding)::INTEGER, embedding[1] FROM range(0, {2 * last + 2}) r LEFT JOIN embeddings ON vec_id = r.range ORDER BY 1").fetchall()
+
+
+def test_projection_of_every_order(spark, sf_dir, con):
+    last = con.execute("SELECT max(o_orderkey) FROM orders").fetchone()[0]
+    names = ["o_custkey", "o_orderpriority", "o_totalprice"]
+    out = with_orders(spark, sf_dir).fetch("orders", numbered([str(i) for i in range(last + 100)], spark), names)
+    got = sorted(tuple(r) for r in out.select("ord", *names).collect())
+    assert got == con.execute(f"SELECT r.range, {', '.join(names)} FROM range(0, {last + 100}) r LEFT JOIN orders ON o_orderkey = r.range ORDER BY 1").fetchall()
