@@ -3,367 +3,433 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest, xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
 from quern.llm.common import only, packed, skew_lookup, staged, table, unpacked
 from quern.llm.components import components
 
 N, PERCENT = 4, 85
-#: Texts of so many bytes are cut into fragments together; entries a fragment, at least and about.
-BATCH_BYTES, BATCH_DOCS = 8 << 20, 20_000
+#: Bytes of texts that are hashed together; n-grams of the sets whose segments leave a task together.
+CHUNK, BATCH_GRAMS = 1 << 18, 1 << 20
+#: Segments in a group, about and at least.
 ENTRIES, LEAST_ENTRIES = 1 << 20, 1 << 16
-#: Documents of a block; n-grams of a fragment within a block pair.
-BLOCK, FRAGMENT = 96, 8192
-SHARED = 0xFFFF
-MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+#: Fragments of the order in which the overlaps of a pair are counted, each for itself.
+FRAGMENTS = 8
+#: Pairs that meet one copy of a set; members of a block of a posting.
+STAR, BLOCK = 1024, 512
 
-
-class Words(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        h = self[word] = xxh3_64_intdigest(word)
-        return h
+GOLDEN, PRIME, MIX, LAST = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+LONG = "long"
 
 
 def finish(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * MULTIPLIERS[3]
+    h = (h ^ (h >> np.uint64(33))) * LAST
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str, known: Words, n: int = N) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's ``n``-word shingles, sorted; the whole sequence is one if it is shorter.
+class Hasher:
+    """64-bit hashes of the words of many texts at once: sums of byte numbers times powers, from prefix sums.
 
-    bytes.lower() changes A-Z alone, and bytes.split() splits at the six white-space characters of the contract.
+    A-Z count as a-z; the six white-space characters of the contract part words.
     """
-    words = text.encode().lower().split()
-    if not words:
-        return np.array([], dtype=np.uint64)
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+    def __init__(self):
+        with np.errstate(over="ignore"):
+            self.byte = finish(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
+        self.byte[65:91] = self.byte[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self._grow(CHUNK)
+
+    def _grow(self, n: int) -> None:
+        def powers(x: int) -> np.ndarray:
+            p = np.full(n + 1, np.uint64(x))
+            p[0] = 1
+            return np.multiply.accumulate(p)
+
+        self.up, self.down = powers(int(PRIME)), powers(pow(int(PRIME), -1, 1 << 64))
+
+    def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of ``data`` (bytes of texts that end at ``ends``), and how many words there are up to each end."""
+        if not len(data):
+            return np.array([], np.uint64), np.zeros(len(ends), np.int64)
+        if len(data) >= len(self.up):
+            self._grow(len(data))
+        word = ~self.space[data]
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        inner = ends[(ends > 0) & (ends < len(data))]
+        first[inner] = word[inner]
+        last[inner - 1] = word[inner - 1]
+        a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self.byte[data] * self.up[: len(data)], out=sums[1:])
+            return finish((sums[b] - sums[a]) * self.down[a]), np.searchsorted(a, ends)
+
+    def long(self, data: np.ndarray) -> np.ndarray:
+        """Hashes of the words of one long text, taken a piece of whole words at a time."""
+        out, at = [], 0
+        while at < len(data):
+            end = min(len(data), at + CHUNK)
+            while end < len(data) and not (gaps := np.flatnonzero(self.space[data[end : end + CHUNK]])).size:
+                end = min(len(data), end + CHUNK)
+            end = min(len(data), end + int(gaps[0])) if end < len(data) else end
+            out.append(self.words(data[at:end], np.array([end - at]))[0])
+            at = end
+        return np.concatenate(out) if out else np.array([], np.uint64)
+
+    def sets(self, texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+        """For each text its distinct shingles of ``n`` words, sorted; the whole sequence is one if it is shorter."""
+        if texts.null_count:
+            texts = texts.fill_null("")
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] else np.array([], np.uint8)
+        i = 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK, side="right")) - 1)
+            piece = data[ends[i] : ends[j]]
+            if j == i + 1:
+                w = self.long(piece)
+                upto = np.array([0, len(w)])
+            else:
+                w, counts = self.words(piece, ends[i + 1 : j + 1] - ends[i])
+                upto = np.r_[0, counts]
+            whole = combined(w, n)
+            for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+                s = np.sort(whole[a : b - n + 1] if b - a >= n else combined(w[a:b], b - a))
+                yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
+            i = j
+
+
+def combined(w: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` neighbours."""
+    if not n or len(w) < n:
+        return np.array([], np.uint64)
     with np.errstate(over="ignore"):
-        size = min(n, len(w))
-        h = np.full(len(w) - size + 1, np.uint64(size))
-        for i in range(size):
-            h = h * MULTIPLIERS[i % 3] + w[i : len(w) - size + 1 + i]
-        return np.unique(finish(h))
+        h = np.full(len(w) - n + 1, np.uint64(n))
+        for i in range(n):
+            h = h * MIX + w[i : len(w) - n + 1 + i]
+        return finish(h)
 
 
-def class_of(grams: np.ndarray) -> bytes:
-    return xxh3_128_digest(grams.tobytes())
+def class_of(grams: np.ndarray) -> int:
+    h = xxh3_64_intdigest(grams.tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``k``, a hash of both: rows of equal k are alike in either."""
+    x = only(docs, "doc_id", "text")
+    return x.withColumn("k", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
 
 
 def sets_of(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, class (128-bit digest of the set), n of every row of ``docs``."""
+    """doc_id, k, class (a hash of the set, null if it is empty), n of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        hasher = Hasher()
         for b in batches:
-            sets = [shingles(t.as_py() or "", known, n) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_of(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "class", "n"])
+            made = [(class_of(s) if len(s) else None, len(s)) for s in hasher.sets(b.column(2), n)]
+            cols = zip(*made, strict=True) if made else [[]] * 2
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "k", "class", "n"])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, class binary, n long")
+    return with_key(docs).select(F.col("doc_id").cast(LONG), "k", "text").mapInArrow(run, "doc_id long, k long, class long, n long")
 
 
-def fragments_of(docs: DataFrame, fragments: int, n: int = N) -> DataFrame:
-    """fragment, batch, data: the texts' shingles, cut into ``fragments`` contiguous ranges of the global (hash) order.
+class Levels:
+    """Size classes, and into how many fragments the sets of a class and the next are cut.
 
-    A batch (texts of BATCH_BYTES) gives each fragment one row with the low 32 bits of its hashes there and the text
-    that each is of.  Equal sets within a batch count once, and a shingle that several texts of the batch have is
-    sent once for all of them (SHARED): so no shingle, however common, has more entries than there are batches.
-    A row of a negative fragment holds the batch's classes, set sizes and counts of shingles that are shared already.
+    A class holds the sizes that may link with its least, so linked sets are of one class or of neighbours.  With the
+    smaller set in a class, a linked pair differs in ``most`` n-grams at most; in more fragments than that the two have
+    the same segment in at least one.
     """
 
-    def cut(name: str, sets: list[np.ndarray]) -> Iterator[tuple[int, str, bytes]]:
-        unique = {class_of(s): s for s in sets if len(s)}
-        if not unique:
-            return
-        sizes = np.array([len(s) for s in unique.values()], dtype=np.uint32)
-        h, at = np.concatenate(list(unique.values())), np.repeat(np.arange(len(unique), dtype=np.uint16), sizes)
-        order = np.argsort(h, kind="stable")
-        h, at = h[order], at[order]
-        same = h[1:] == h[:-1]
-        several = np.r_[same, False] | np.r_[False, same]
-        shared = np.bincount(at[several], minlength=len(unique)).astype(np.uint32)
-        keep = ~np.r_[False, same]
-        h, at = h[keep], np.where(several[keep], np.uint16(SHARED), at[keep])
-        yield -1 - xxh3_64_intdigest(name.encode()) % fragments, name, b"".join(unique) + sizes.tobytes() + shared.tobytes()
-        f = ((h >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-        ends = np.searchsorted(f, np.arange(fragments + 1))
-        low = h.astype(np.uint32)
-        for i in np.flatnonzero(np.diff(ends)):
-            a, b = ends[i], ends[i + 1]
-            yield int(i), name, low[a:b].tobytes() + at[a:b].tobytes()
+    def __init__(self, percent: int):
+        least = [1]
+        while least[-1] < 1 << 40 and percent > 0:
+            least.append(least[-1] * 100 // percent + 1)
+        top = np.array(least[1:], dtype=np.int64) - 1
+        self.least = np.array(least[:-1], dtype=np.int64)
+        self.most = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
+        self.fragments = self.most + 2 + self.most // 16
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        known, part, k = Words(), TaskContext.get().partitionId(), 0
-        sets: list[np.ndarray] = []
+def segments(sets: list[np.ndarray], levels: Levels, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set, whether the set is of the next class) of all segments of ``sets``.
+
+    The order of the n-grams is that of their hashes, which is cut into equal ranges.  A set has the segments of its own
+    class's fragments and of the class below.  A signature stands for class, fragment and all n-grams there.  A set
+    with segments in no more fragments than a link may differ in (others are empty) could miss a partner of the same
+    kind: such sets also enter the n-grams of their prefixes, one of which any partner shares.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    h, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    own = np.searchsorted(levels.least, sizes, side="right") - 1
+    out = []
+    with np.errstate(over="ignore"):
+        mixed = finish(h * GOLDEN)
+        for step in (0, 1):
+            level = own - step
+            used = (level >= 0) & (levels.most[level] > 0)  # else only equal sets link
+            fragment = (h >> np.uint64(32)) * levels.fragments[level][at].astype(np.uint64) >> np.uint64(32)
+            edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (fragment[1:] != fragment[:-1])])
+            of = at[edge]
+            place = level[of].astype(np.uint64) << np.uint64(48) | fragment[edge]
+            signature = finish(np.add.reduceat(mixed, edge) + finish(place * PRIME))
+            weak = used & (np.bincount(of, minlength=len(sets)) <= levels.most[level])
+            out.append((signature[used[of]], of[used[of]], np.full(int(used[of].sum()), step, np.uint32)))
+            for i in np.flatnonzero(weak):
+                prefix = sets[i][: sizes[i] - -(-percent * sizes[i] // 100) + 1]
+                signature = finish(prefix * GOLDEN + finish(np.uint64(level[i]) * MIX))
+                out.append((signature, np.full(len(prefix), i), np.full(len(prefix), step, np.uint32)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def entries(docs: DataFrame, groups: int, n: int, percent: int) -> DataFrame:
+    """grp, data: the segments of all sets, by signature in ``groups`` groups, packed: signatures (31 bits, and one for
+    the class), then sets.  Equal sets of a task's batch enter once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, levels = Hasher(), Levels(percent)
+        sets: dict[int, np.ndarray] = {}
         size = 0
 
-        def packed() -> pa.RecordBatch:
-            rows = list(cut(f"{part}-{k}", sets))
-            cols = zip(*rows, strict=True) if rows else [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.binary()), strict=True)], names=["fragment", "batch", "data"])
+        def packs() -> Iterator[pa.RecordBatch]:
+            signature, at, step = segments(list(sets.values()), levels, percent)
+            order = np.argsort(signature)
+            signature, step = signature[order], step[order]
+            who = np.array(list(sets), dtype=np.int64)[at[order]]
+            grp = ((signature >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+            low = signature.astype(np.uint32) & np.uint32(0xFFFFFFFE) | step
+            ends = np.flatnonzero(np.r_[grp[1:] != grp[:-1], True]) + 1 if len(grp) else []
+            rows, start = [], 0
+            for end in ends:
+                rows.append((int(grp[start]), low[start:end].tobytes() + who[start:end].tobytes()))
+                start = end
+            for a in range(0, len(rows), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096], strict=True), (pa.int64(), pa.binary()), strict=True)], names=["grp", "data"])
 
         for b in batches:
-            for t in b.column(0):
-                text = t.as_py() or ""
-                sets.append(shingles(text, known, n))
-                size += len(text)
-                if size >= BATCH_BYTES or len(sets) >= BATCH_DOCS:
-                    yield packed()
-                    sets, size, k = [], 0, k + 1
+            for s in hasher.sets(b.column(0), n):
+                if len(s) and (c := class_of(s)) not in sets:
+                    sets[c] = s
+                    size += len(s)
+                    if size >= BATCH_GRAMS:
+                        yield from packs()
+                        sets.clear()
+                        size = 0
         if sets:
-            yield packed()
+            yield from packs()
 
-    return only(docs, "text").mapInArrow(run, "fragment int, batch string, data binary")
+    return only(docs, "text").mapInArrow(run, "grp long, data binary")
 
 
-def counted(pieces: DataFrame) -> DataFrame:
-    """batch, data: for each fragment, how many shingles of each text of a batch another batch has too."""
+def postings(packs: DataFrame) -> DataFrame:
+    """sig, class, upper, hub, members of every segment that two sets or more have, one at least of the lower class.
 
-    def run(key, rows):
-        if key[0].as_py() < 0:
-            return rows.select(["batch", "data"]).append_column("is_head", pa.array([True] * len(rows), pa.bool_()))
-        names, blobs = rows.column("batch").to_pylist(), rows.column("data").to_pylist()
-        sizes = [len(x) // 6 for x in blobs]
-        h = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(blobs, sizes, strict=True)])
-        at = np.concatenate([np.frombuffer(x, np.uint16, k, 4 * k) for x, k in zip(blobs, sizes, strict=True)])
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        several = np.zeros(len(h), bool)
-        several[order] = np.r_[same, False] | np.r_[False, same]
-        out, start = [], 0
-        for k in sizes:
-            own = at[start : start + k][several[start : start + k]]
-            which, n = np.unique(own[own != SHARED], return_counts=True)
-            out.append(which.astype(np.uint16).tobytes() + n.astype(np.uint32).tobytes())
-            start += k
-        return pa.table({"batch": names, "data": pa.array(out, pa.binary()), "is_head": pa.array([False] * len(names), pa.bool_())})
-
-    return pieces.groupBy("fragment").applyInArrow(run, "batch string, data binary, is_head boolean")
-
-
-def promising(counts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The classes that can have a link at all: of a linked set, ``percent`` of the shingles are in another set too."""
+    ``hub``: the least set of the lower class.  Pairs of sets of the upper class meet in their own level.
+    """
 
-    def run(rows):
-        heads, parts = [], []
-        for data, is_head in zip(rows.column("data").to_pylist(), rows.column("is_head").to_pylist(), strict=True):
-            (heads if is_head else parts).append(data)
-        found = []
-        for head in heads[:1]:
-            m = len(head) // 24
-            sizes = np.frombuffer(head, np.uint32, m, 16 * m).astype(np.int64)
-            shared = np.frombuffer(head, np.uint32, m, 20 * m).astype(np.int64)
-            for p in parts:
-                k = len(p) // 6
-                np.add.at(shared, np.frombuffer(p, np.uint16, k), np.frombuffer(p, np.uint32, k, 2 * k))
-            found = [head[16 * i : 16 * i + 16] for i in np.flatnonzero(100 * shared >= percent * sizes)]
-        return pa.table({"class": pa.array(found, pa.binary())})
-
-    return counts.groupBy("batch").applyInArrow(run, "class binary").distinct()
-
-
-def chosen_sets(docs: DataFrame, reps: DataFrame, n: int = N) -> DataFrame:
-    """class, n, grams of the classes in ``reps`` (rep, class), from one text of each."""
+    def run(key, rows):
+        blobs = rows.column("data").to_pylist()
+        sizes = [len(x) // 12 for x in blobs]
+        low = np.concatenate([np.frombuffer(x, np.uint32, k) for x, k in zip(blobs, sizes, strict=True)])
+        who = np.concatenate([np.frombuffer(x, np.int64, k, 4 * k) for x, k in zip(blobs, sizes, strict=True)])
+        del blobs
+        order = np.lexsort((who, low))  # the last bit sorts a posting's lower class first
+        low, who = low[order], who[order]
+        keep = np.r_[True, (low[1:] != low[:-1]) | (who[1:] != who[:-1])]
+        low, who = low[keep], who[keep]
+        sig, upper = low >> np.uint32(1), (low & np.uint32(1)).astype(bool)
+        start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        count = np.diff(np.r_[start, len(sig)])
+        good = (count > 1) & ~upper[start]
+        keep, start, count = np.repeat(good, count), start[good], count[good]
+        full = (np.int64(key[0].as_py()) << np.int64(31)) + sig[keep].astype(np.int64)
+        return pa.table({"sig": full, "class": who[keep], "upper": upper[keep], "hub": np.repeat(who[start], count), "members": np.repeat(count, count)})
+
+    return packs.groupBy("grp").applyInArrow(run, "sig long, class long, upper boolean, hub long, members long")
+
+
+def parts_of(docs: DataFrame, reps: DataFrame, rows: int, n: int = N) -> DataFrame:
+    """class, fragment, n, grams: the sets of the classes in ``reps`` (class, k, alike: rows of that k), cut by the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        hasher = Hasher()
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+
+        def batch(made: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=["class", "fragment", "n", "grams"])
+
         for b in batches:
-            kept = []
-            for text, c in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                s = shingles(text.as_py() or "", known, n)
-                if class_of(s) == c:  # else another text under the same doc_id
-                    kept.append((c, len(s), s.view(np.int64)))
-            cols = zip(*kept, strict=True) if kept else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["class", "n", "grams"])
-
-    x = only(docs, "doc_id", "text").join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "class")
-    return x.mapInArrow(run, "class binary, n long, grams array<long>").dropDuplicates(["class"])
-
-
-def with_shared(sets: DataFrame, percent: int) -> DataFrame:
-    """class, n, shared (df, gram: by df) of the sets of which enough n-grams are in two sets or more."""
-    each = sets.select("class", "n", F.explode("grams").alias("gram"))
-    df = staged(each.groupBy("gram").agg(F.count("*").alias("df")), "df")
-    total = df.agg(F.sum("df")).first()[0] or 0
-    x = skew_lookup(each, df.where("df > 1"), "gram", "df", total, F.col("class")).where("df > 1")
-    x = x.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("shared"))
-    return x.where(F.size("shared") * 100 >= F.col("n") * percent)
-
-
-def coarse(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose components hold all links: sets that share an n-gram of their prefixes, sizes permitting.
-
-    Of n n-grams by ascending df, two linked sets share one of the first n - ceil(percent% of n) + 1; those only in one
-    set come first and are left out.  Linked sizes are in the same or neighbouring classes of ratio percent%, so a set is
-    entered under its own and the next.  Entries of an n-gram are dealt into parts of about 256, which are stars around
-    their least class, and these stars' centres are a star again.
+            made, size = [], 0
+            for c, s in zip(b.column(1).to_pylist(), hasher.sets(b.column(0), n), strict=True):
+                cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(FRAGMENTS) >> np.uint64(32), np.arange(FRAGMENTS + 1))
+                made += [(c, f, len(s), s[x:y].view(np.int64)) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                size += len(s)
+                if size >= BATCH_GRAMS // 2:
+                    yield batch(made)
+                    made, size = [], 0
+            if made:
+                yield batch(made)
+
+    x = skew_lookup(with_key(docs).select("k", "text"), reps.withColumnRenamed("class", "c"), "k", "alike", rows, F.length("text"))
+    x = x.where("c is not null").select("text", F.col("c").alias("class")).mapInArrow(run, "class long, fragment int, n long, grams array<long>")
+    return x.dropDuplicates(["class", "fragment"])
+
+
+def links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: overlaps are counted fragment by fragment and summed per pair.
+
+    A set b of many pairs has a copy for each STAR of them, so that no set's pairs meet in one task.
     """
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - (F.col("n") - F.size("shared"))
-    size_class = F.floor(F.ln("n") / F.lit(-log(percent / 100)) + F.lit(1e-9)).cast("int")
-    x = sets.select("class", size_class.alias("c0"), F.explode(F.slice("shared", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("g"))
-    x = x.select("class", F.col("g.gram").alias("gram"), F.col("g.df").alias("df"), F.explode(F.array("c0", F.col("c0") + 1)).alias("c"))
-    part = F.pmod(F.xxhash64("class"), F.ceil(F.col("df") / F.lit(256)).cast("long"))
-    x = x.withColumn("part", part).withColumn("hub", F.min("class").over(W.partitionBy("gram", "c", "part")))
-    x = staged(x.select("class", "gram", "c", "hub"), "prefixes")
-    near = x.select(F.col("class").alias("a"), F.col("hub").alias("b"))
-    hubs = x.select("gram", "c", "hub").distinct()
-    far = hubs.select(F.col("hub").alias("a"), F.min("hub").over(W.partitionBy("gram", "c")).alias("b"))
-    return near.unionByName(far)
-
-
-def overlaps(sets: list[np.ndarray], fragment: int = FRAGMENT) -> np.ndarray:
-    """Sizes of all pairs' intersections: partial overlaps counted fragment by fragment of the n-gram order, and summed."""
-    grams, at = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    order = np.argsort(at, kind="stable")
-    at, row = at[order], row[order]
-    out = np.zeros((len(sets), len(sets)))
-    for a in range(0, len(grams), fragment):
-        i, j = np.searchsorted(at, (a, a + fragment))
-        part = np.zeros((len(sets), min(fragment, len(grams) - a)), dtype=np.float32)
-        part[row[i:j], at[i:j] - a] = 1
-        out += part @ part.T
-    return out.astype(np.int64)
-
-
-def linked(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect exactly what links connect, from the sets and their coarse clusters (node, root).
-
-    The members of a cluster are dealt into blocks of about BLOCK; each pair of blocks is a group, small clusters share
-    one.  A group counts all its pairs' overlaps and returns a spanning forest of its links, not the links.
+    degree = staged(pairs.groupBy("b").agg(F.count("*").alias("degree")), "degrees")
+    total = degree.agg(F.sum("degree")).first()[0] or 0
+    copies = F.ceil(F.col("degree") / F.lit(STAR)).cast("int")
+    x = skew_lookup(pairs, degree, "b", "degree", total, F.col("a"))
+    x = x.select("a", "b", F.pmod(F.xxhash64("a"), copies).cast("int").alias("copy"), F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    x = x.join(parts.select(F.col("class").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("g_a")), ["a", "fragment"])
+    many = degree.where(F.col("degree") > STAR).select(F.col("b").alias("class"), copies.alias("copies"))
+    y = parts.join(many, "class", "left").select(F.col("class").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("g_b"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    x = x.join(y, ["b", "fragment", "copy"]).where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    x = x.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).cast(LONG).alias("partial"))
+    x = x.groupBy("a", "b").agg(F.sum("partial").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    return x.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
+
+
+def unsettled(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of postings of three or more, what is neither connected yet nor compared: members beside the hub, of two roots or more."""
+    many = found.where((F.col("members") > 2) & (F.col("class") != F.col("hub"))).select("sig", "class", "upper", "members")
+    known = roots.withColumnRenamed("node", "class")
+    x = many.join(known, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    left = x.groupBy("sig").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("sig")
+    return x.join(left, "sig")
+
+
+def across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots in a posting, not both of the upper class, each pair once.
+
+    A posting is dealt into blocks of BLOCK, and each two blocks of it are a group; small postings share one.
     """
-    members = clusters.count()
-    sized = clusters.groupBy("root").agg(F.count("*").alias("members"))
-    x = skew_lookup(clusters.withColumnRenamed("node", "class"), staged(sized, "cluster-sizes", members), "root", "members", members, F.col("class"))
-    x = sets.select("class", "n", F.transform("shared", lambda s: s.gram).alias("grams")).join(x, "class")
+    packs = members.count() // (100 * BLOCK) + 1
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    x = x.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    x = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    packs = max(1, ceil(members / BLOCK))
-    pack = F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(packs)))).otherwise(F.concat_ws(":", F.hex("root"), F.least("block", "other"), F.greatest("block", "other")))
+    x = x.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    pack = F.when(F.col("blocks") == 1, F.struct(F.pmod("sig", F.lit(packs)).alias("p"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("sig").alias("p"), "i", "j"))
 
     def run(rows):
+        sig, who, root, upper, block, i, j = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "class", "root", "upper", "block", "i", "j"))
+        order = np.argsort(sig, kind="stable")
+        starts = np.flatnonzero(np.r_[True, sig[order][1:] != sig[order][:-1]])
         a, b = [], []
-        rows = rows.sort_by("root")
-        classes, roots, n = rows.column("class").to_pylist(), rows.column("root").to_pylist(), rows.column("n").to_numpy()
-        grams = rows.column("grams").combine_chunks()
-        start = 0
-        while start < len(roots):
-            end = start
-            while end < len(roots) and roots[end] == roots[start]:
-                end += 1
-            if end - start > 1:
-                sets = [grams[i].values.to_numpy() for i in range(start, end)]
-                both = overlaps(sets)
-                size = n[start:end]
-                link = 100 * both >= percent * (size[:, None] + size[None] - both)
-                label = np.arange(end - start)
-                while True:  # every row takes the least label among its links until none changes
-                    least = np.where(link, label[None], end).min(1)
-                    least = np.minimum(least, label)
-                    least = least[least]
-                    if (least == label).all():
-                        break
-                    label = least
-                for i in np.flatnonzero(label != np.arange(end - start)):
-                    a.append(classes[start + i])
-                    b.append(classes[start + label[i]])
-            start = end
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return x.select("class", "n", "grams", "root", pack.alias("pack")).groupBy("pack").applyInArrow(run, "a binary, b binary")
+        for s, e in zip(starts, np.r_[starts[1:], len(sig)], strict=True):
+            at = order[s:e]
+            here = np.triu((root[at][:, None] != root[at][None]) & ~(upper[at][:, None] & upper[at][None]), 1)
+            if i[at[0]] != j[at[0]]:  # two blocks: pairs of one block meet in its own group
+                here &= block[at][:, None] != block[at][None]
+            x, y = np.nonzero(here)
+            a.append(who[at][x])
+            b.append(who[at][y])
+        a, b = np.concatenate(a), np.concatenate(b)
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        return pa.table({"a": both[0], "b": both[1]})
+
+    x = x.select("sig", "class", "root", "upper", "block", "i", "j", pack.alias("pack"))
+    return x.groupBy("pack").applyInArrow(run, "a long, b long").distinct()
+
+
+def row_order(doc_id: str = "doc_id") -> list[Column]:
+    return [F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id")]
 
 
 def grouped(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class, n) of every row of ``docs``, and (class, copies, component_id, winner) of every class with shingles.
+    """(doc_id, k, class, n) of every row of ``docs``, and (class, copies, component_id, winner) of every class.
 
     ``component_id`` is the least doc_id of the class's component and ``winner`` one class of it that has that doc_id.
 
-    Sets come from whole texts; equal sets are one class from there on.  Vertical partitioning serves twice.  First the
-    global order of all n-grams is cut into fragments, where those that two batches have are counted, and the counts
-    are summed per set: a set that shares too few n-grams with all others has no link and goes no further.  Then the
-    sets that stay are clustered by shared prefixes, and per pair of blocks of a cluster the partial overlaps of each
-    fragment are counted separately and summed per pair, exactly.  N-grams are compared by 64-bit hashes.
+    Sets come from whole texts; equal sets are one class from there on.  The global order of all n-grams is cut into
+    fragments, as many for a size that a linked pair agrees wholly on one at least: sets with the same segment there
+    make a posting.  The members of a posting are compared with one of them, and, after the components of these links
+    are known, with each member of another component; so a group of near copies is not compared pair by pair, and no
+    link between components is lost.  A compared pair's overlaps are counted in each fragment of the order separately
+    and summed per pair.  N-grams and sets are known by 64-bit hashes.
     """
     spark = docs.sparkSession
-    sets = staged(sets_of(docs, n), "sets")  # equal sets are one class from here on
-    total = sets.agg(F.sum("n")).first()[0] or 0
+    sets = staged(sets_of(docs, n), "sets")
+    rows, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # At most so many that a batch still has some dozen entries for each.
-    fragments = max(1, min(max(ceil(total / ENTRIES), min(parallel, ceil(total / LEAST_ENTRIES))), BATCH_BYTES // 256))
-    live = staged(promising(counted(fragments_of(docs, fragments, n)), percent), "promising", sets.count())
-    classes = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    segments_ = ceil(total * 2 * (100 - percent) / percent * 1.1) + 1
+    groups = max(1, ceil(segments_ / ENTRIES), min(parallel, ceil(segments_ / LEAST_ENTRIES)))
+    classes = sets.where("n > 0").groupBy("class").agg(F.min(F.struct(*row_order(), "k")).alias("least"), F.count("*").alias("copies"))
     classes = staged(classes, "classes")
-    texts = staged(chosen_sets(docs, classes.join(live, "class").select("rep", "class"), n), "chosen")
-    close = staged(with_shared(texts, percent), "shared")
-    clusters = components(coarse(close, percent))
-    roots = components(linked(close, clusters, percent))
-    linked_classes = roots.count()
+    found = staged(postings(entries(docs, groups, n, percent)), "postings")
+    pairs = staged(found.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    live = found.select("class").distinct()
+    alike = sets.where("n > 0").groupBy("k").agg(F.count("*").alias("alike"))
+    reps = live.join(classes.select("class", F.col("least.k").alias("k")), "class").join(alike, "k")
+    parts = staged(parts_of(docs, staged(reps.select("class", "k", "alike"), "reps"), rows, n), "parts")
+    edges = staged(links(pairs, parts, percent), "links")
+    roots = components(edges)
+    more = staged(across(staged(unsettled(found, roots), "unsettled")), "more-pairs")
+    if more.limit(1).count():
+        edges = staged(edges.unionByName(links(more, parts, percent)), "links")
+        roots = components(edges)
+    linked = roots.count()
     ids = classes.join(roots.select(F.col("node").alias("class"), "root"), "class")
-    named = F.struct(F.col("rep").isNull().alias("none"), "rep", "class")
-    least = staged(ids.groupBy("root").agg(F.min(named).alias("least"), F.count("*").alias("classes")), "least", linked_classes)
-    ids = skew_lookup(ids.select("class", "root"), least, "root", "classes", linked_classes, F.col("class")).select("class", "least")
-    ids = classes.join(ids, "class", "left").select("class", "copies", F.coalesce("least", named).alias("l"))
-    return sets, staged(ids.select("class", "copies", F.col("l.rep").alias("component_id"), F.col("l.class").alias("winner")), "component-ids")
+    named = F.struct("least.none", "least.doc_id", "class")
+    least = staged(ids.groupBy("root").agg(F.min(named).alias("first"), F.count("*").alias("classes")), "least", linked)
+    ids = skew_lookup(ids.select("class", "root"), least, "root", "classes", linked, F.col("class")).select("class", "first")
+    ids = classes.join(ids, "class", "left").select("class", "copies", F.coalesce("first", named).alias("l"))
+    return sets, staged(ids.select("class", "copies", F.col("l.doc_id").alias("component_id"), F.col("l.class").alias("winner")), "component-ids")
 
 
 def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     sets, ids = grouped(docs, n=n, percent=percent)
-    keyed = sets.withColumn("class", F.when(F.col("n") > 0, F.col("class")))
-    x = skew_lookup(keyed, ids, "class", "copies", sets.count(), F.xxhash64("doc_id"))
+    x = skew_lookup(sets, ids, "class", "copies", sets.count(), F.col("k"))
     return x.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component, that of its least doc_id; rows without words all stay.
+    """``docs`` with one row of each component, one of its least doc_id; rows without words all stay.
 
     Where a doc_id has several rows, a row stays if its own text has the winning class, and of equal classes under one
     doc_id the first text.
     """
     sets, ids = grouped(docs, n=n, percent=percent)
-    win = ids.where(F.col("class") == F.col("winner")).select(F.col("component_id").alias("_id"), F.col("class").alias("_class"))
-    several = staged(sets.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("_several")), "several")
-    stay = win.select("_id").unionByName(sets.where("n = 0").select(F.col("doc_id").alias("_id"))).distinct()
-    stay = staged(stay.join(several, F.col("_id").eqNullSafe(F.col("_several")), "left_anti"), "stay")
-    x = packed(docs, "doc_id")
-    once = unpacked(x.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), docs.columns)
-    y = packed(docs, "doc_id", "text").join(several, F.col("doc_id").eqNullSafe(F.col("_several")), "left_semi")
-    # A struct does not pass through Python: the rows' texts do, and meet their classes again.
-    texts = y.select("doc_id", "text").distinct()
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        for b in batches:
-            made = [shingles(t.as_py() or "", known, n) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([class_of(s) if len(s) else None for s in made], pa.binary())], names=["t_id", "t_text", "t_class"])
-
-    texts = texts.mapInArrow(classed, "t_id long, t_text string, t_class binary")
-    y = y.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("text").eqNullSafe(F.col("t_text")))
-    none = y.where("t_class is null")
-    first = F.row_number().over(W.partitionBy("doc_id", "t_class").orderBy("text"))
-    some = y.where("t_class is not null").join(win, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t_class") == F.col("_class"))).withColumn("_first", first).where("_first = 1")
-    return once.unionByName(unpacked(none, docs.columns)).unionByName(unpacked(some, docs.columns))
+    win = ids.where(F.col("class") == F.col("winner")).select("class", "component_id", F.struct(F.col("component_id").isNull(), F.col("component_id")).alias("id"))
+    mine = sets.where("n > 0").withColumn("id", F.struct(F.col("doc_id").isNull(), F.col("doc_id")))
+    keys = mine.groupBy("class", "id", "k").agg(F.count("*").alias("alike")).join(win, ["class", "id"])
+    # how many rows the class has under that doc_id: more than one must be told apart by their texts
+    several = F.sum("alike").over(W.partitionBy("class"))
+    keys = staged(keys.select("k", "alike", F.col("class").alias("_class"), several.alias("_rows")), "winners")
+    x = packed(docs, "doc_id", "text")
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    none = unpacked(x.where(~words), docs.columns)
+    x = x.where(words).select("text", "_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("k"))
+    x = skew_lookup(x, keys, "k", "alike", sets.count(), F.length("text")).where("_rows is not null")
+    once = unpacked(x.where("_rows = 1"), docs.columns)
+    first = F.row_number().over(W.partitionBy("_class").orderBy("text"))
+    some = unpacked(x.where("_rows > 1").withColumn("_first", first).where("_first = 1"), docs.columns)
+    return none.unionByName(once).unionByName(some)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by the Jaccard similarity of their 4-word shingles.
 
     Null, empty or wordless text: no shingles, a component of its own.  Null doc_ids never are the smallest; a component
-    of them alone has a null id.  Rows with the same doc_id are rows of their own.  Empty table: no rows.
+    of them alone has a null id.  Rows with the same doc_id are rows of their own.  Empty table: no rows.  Texts of any
+    length are hashed a piece at a time, and their sets cut into fragments.  Further columns are not read.
     """
     return near_duplicates(table(spark, sf_dir, "documents"))
 
