@@ -22,8 +22,8 @@ CHUNK, BATCH_GRAMS = 1 << 18, 1 << 20
 ENTRIES, LEAST_ENTRIES = 1 << 20, 1 << 16
 #: Fragments of the order in which the overlaps of a pair are counted, each for itself.
 FRAGMENTS = 8
-#: Pairs that meet one copy of a set; members of a block of a posting.
-STAR, BLOCK = 1024, 512
+#: Pairs that meet one copy of a set; members of a posting whose pairs are listed; members and n-grams of a block of a larger one.
+STAR, SMALL, BLOCK, BLOCK_GRAMS = 1024, 32, 1024, 1 << 20
 
 GOLDEN, PRIME, MIX, LAST = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 LONG = "long"
@@ -306,48 +306,98 @@ def links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return x.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
 
 
-def unsettled(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of postings of three or more, what is neither connected yet nor compared: members beside the hub, of two roots or more."""
-    many = found.where((F.col("members") > 2) & (F.col("class") != F.col("hub"))).select("sig", "class", "upper", "members")
+def unsettled(found: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of postings of three or more, what is neither connected yet nor compared: members beside the hub, of two roots or
+    more, with their number and how many n-grams the largest has."""
+    many = found.where((F.col("members") > 2) & (F.col("class") != F.col("hub"))).select("sig", "class", "upper")
     known = roots.withColumnRenamed("node", "class")
-    x = many.join(known, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    left = x.groupBy("sig").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("sig")
-    return x.join(left, "sig")
+    x = many.join(known, "class", "left").withColumn("root", F.coalesce("root", "class")).join(classes.select("class", "n"), "class")
+    of = x.groupBy("sig").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("members"), F.max("n").alias("most"))
+    return x.drop("n").join(of.where("one <> other").select("sig", "members", "most"), "sig")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different roots in a posting, not both of the upper class, each pair once.
+def apart(root: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """Which pairs of a posting are still to be compared: of different roots, and not both of the upper class."""
+    return (root[:, None] != root[None]) & ~(upper[:, None] & upper[None])
 
-    A posting is dealt into blocks of BLOCK, and each two blocks of it are a group; small postings share one.
-    """
-    packs = members.count() // (100 * BLOCK) + 1
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    x = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    pack = F.when(F.col("blocks") == 1, F.struct(F.pmod("sig", F.lit(packs)).alias("p"), F.lit(-1).alias("i"), F.lit(-1).alias("j"))).otherwise(F.struct(F.col("sig").alias("p"), "i", "j"))
+
+def across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) to be compared of postings of SMALL members at most, each pair once."""
+    packs = members.count() // (100 * SMALL) + 1
 
     def run(rows):
-        sig, who, root, upper, block, i, j = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "class", "root", "upper", "block", "i", "j"))
+        sig, who, root, upper = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "class", "root", "upper"))
         order = np.argsort(sig, kind="stable")
         starts = np.flatnonzero(np.r_[True, sig[order][1:] != sig[order][:-1]])
         a, b = [], []
         for s, e in zip(starts, np.r_[starts[1:], len(sig)], strict=True):
             at = order[s:e]
-            here = np.triu((root[at][:, None] != root[at][None]) & ~(upper[at][:, None] & upper[at][None]), 1)
-            if i[at[0]] != j[at[0]]:  # two blocks: pairs of one block meet in its own group
-                here &= block[at][:, None] != block[at][None]
-            x, y = np.nonzero(here)
+            x, y = np.nonzero(np.triu(apart(root[at], upper[at]), 1))
             a.append(who[at][x])
             b.append(who[at][y])
         a, b = np.concatenate(a), np.concatenate(b)
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         return pa.table({"a": both[0], "b": both[1]})
 
-    x = x.select("sig", "class", "root", "upper", "block", "i", "j", pack.alias("pack"))
+    x = members.where(F.col("members") <= SMALL).select("sig", "class", "root", "upper", F.pmod(F.xxhash64("sig"), F.lit(packs)).alias("pack"))
     return x.groupBy("pack").applyInArrow(run, "a long, b long").distinct()
 
 
+def overlaps(cells: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
+    """Sizes of all intersections of ``m`` sets, from the (set, n-gram) of each fragment: partial overlaps are counted
+    fragment by fragment, and summed per pair."""
+    out = np.zeros((m, m), dtype=np.float32)
+    width = max(256, (1 << 22) // m)
+    for row, grams in cells:
+        grams, at = np.unique(grams, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        for a in range(0, len(grams), width):
+            i, j = np.searchsorted(at, (a, a + width))
+            part = np.zeros((m, min(width, len(grams) - a)), dtype=np.float32)
+            part[row[i:j], at[i:j] - a] = 1
+            out += part @ part.T
+    return out.astype(np.int64)
+
+
+def forests(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what the links across roots connect, of postings of more than SMALL members.
+
+    A posting is dealt into blocks of BLOCK_GRAMS n-grams, and each two blocks of it are a group, which compares their
+    sets without emitting the pairs.
+    """
+    x = members.where(F.col("members") > SMALL)
+    room = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_GRAMS) / F.col("most"))))
+    x = x.withColumn("blocks", F.ceil(F.col("members") / room).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("sig", "class", "root", "upper", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    x = x.join(parts, "class")
+
+    def run(rows):
+        who, at = np.unique(rows.column("class").to_numpy(), return_inverse=True)
+        m = len(who)
+        root, n, upper = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, bool)
+        for into, name in ((root, "root"), (n, "n"), (upper, "upper")):
+            into[at] = rows.column(name).to_numpy(zero_copy_only=False)
+        fragment, grams = rows.column("fragment").to_numpy(), rows.column("grams").combine_chunks()
+        sizes, values = grams.value_lengths().to_numpy(), grams.flatten().to_numpy()
+        cell = np.repeat(fragment, sizes)
+        row = np.repeat(at, sizes)
+        both = overlaps([(row[cell == f], values[cell == f]) for f in range(FRAGMENTS)], m)
+        link = apart(root, upper) & (100 * both >= percent * (n[:, None] + n[None] - both))
+        label = np.arange(m)
+        while True:  # every set takes the least label among its links until none changes
+            least = np.minimum(np.where(link, label[None], m).min(1), label)
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        other = np.flatnonzero(label != np.arange(m))
+        return pa.table({"a": who[other], "b": who[label[other]]})
+
+    return x.select("sig", "i", "j", "class", "root", "upper", "fragment", "n", "grams").groupBy("sig", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def row_order(doc_id: str = "doc_id") -> list[Column]:
     return [F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id")]
 
@@ -360,8 +410,8 @@ def grouped(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> tuple[Dat
     Sets come from whole texts; equal sets are one class from there on.  The global order of all n-grams is cut into
     fragments, as many for a size that a linked pair agrees wholly on one at least: sets with the same segment there
     make a posting.  The members of a posting are compared with one of them, and, after the components of these links
-    are known, with each member of another component; so a group of near copies is not compared pair by pair, and no
-    link between components is lost.  A compared pair's overlaps are counted in each fragment of the order separately
+    are known, with each member of another component (pairs in a large posting without leaving their task); so a group
+    of near copies is not compared pair by pair, and no link between components is lost.  A compared pair's overlaps are counted in each fragment of the order separately
     and summed per pair.  N-grams and sets are known by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -370,7 +420,7 @@ def grouped(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> tuple[Dat
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     segments_ = ceil(total * 2 * (100 - percent) / percent * 1.1) + 1
     groups = max(1, ceil(segments_ / ENTRIES), min(parallel, ceil(segments_ / LEAST_ENTRIES)))
-    classes = sets.where("n > 0").groupBy("class").agg(F.min(F.struct(*row_order(), "k")).alias("least"), F.count("*").alias("copies"))
+    classes = sets.where("n > 0").groupBy("class").agg(F.min(F.struct(*row_order(), "k")).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
     classes = staged(classes, "classes")
     found = staged(postings(entries(docs, groups, n, percent)), "postings")
     pairs = staged(found.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
@@ -380,9 +430,10 @@ def grouped(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> tuple[Dat
     parts = staged(parts_of(docs, staged(reps.select("class", "k", "alike"), "reps"), rows, n), "parts")
     edges = staged(links(pairs, parts, percent), "links")
     roots = components(edges)
-    more = staged(across(staged(unsettled(found, roots), "unsettled")), "more-pairs")
-    if more.limit(1).count():
-        edges = staged(edges.unionByName(links(more, parts, percent)), "links")
+    rest = staged(unsettled(found, roots, classes), "unsettled")
+    if not rest.isEmpty():
+        more = links(staged(across(rest), "more-pairs"), parts, percent).unionByName(forests(rest, parts, percent))
+        edges = staged(edges.unionByName(more), "links")
         roots = components(edges)
     linked = roots.count()
     ids = classes.join(roots.select(F.col("node").alias("class"), "root"), "class")
