@@ -22,8 +22,8 @@ CHUNK, BATCH_GRAMS = 1 << 18, 1 << 20
 ENTRIES, LEAST_ENTRIES = 1 << 20, 1 << 16
 #: Fragments of the order in which the overlaps of a pair are counted, each for itself.
 FRAGMENTS = 8
-#: Pairs that meet one copy of a set; members of a posting whose pairs are listed; members and n-grams of a block of a larger one.
-STAR, SMALL, BLOCK, BLOCK_GRAMS = 1024, 32, 1024, 1 << 20
+#: Sets and n-grams of a block of a cluster, about.
+BLOCK, BLOCK_GRAMS = 256, 1 << 20
 
 GOLDEN, PRIME, MIX, LAST = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 LONG = "long"
@@ -287,104 +287,117 @@ def parts_of(docs: DataFrame, reps: DataFrame, rows: int, n: int = N) -> DataFra
     return x.dropDuplicates(["class", "fragment"])
 
 
-def links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps are counted fragment by fragment and summed per pair.
+def placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, pack, blocks of the sets in ``pairs``: the cluster that candidate pairs connect, and into how many blocks it is cut.
 
-    A set b of many pairs has a copy for each STAR of them, so that no set's pairs meet in one task.
+    A block has about BLOCK sets or BLOCK_GRAMS n-grams.  Clusters of one block share packs of that size.  Clusters tell
+    where sets meet, not which do.
     """
-    degree = staged(pairs.groupBy("b").agg(F.count("*").alias("degree")), "degrees")
-    total = degree.agg(F.sum("degree")).first()[0] or 0
-    copies = F.ceil(F.col("degree") / F.lit(STAR)).cast("int")
-    x = skew_lookup(pairs, degree, "b", "degree", total, F.col("a"))
-    x = x.select("a", "b", F.pmod(F.xxhash64("a"), copies).cast("int").alias("copy"), F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-    x = x.join(parts.select(F.col("class").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("grams").alias("g_a")), ["a", "fragment"])
-    many = degree.where(F.col("degree") > STAR).select(F.col("b").alias("class"), copies.alias("copies"))
-    y = parts.join(many, "class", "left").select(F.col("class").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("grams").alias("g_b"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
-    x = x.join(y, ["b", "fragment", "copy"]).where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    x = x.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).cast(LONG).alias("partial"))
-    x = x.groupBy("a", "b").agg(F.sum("partial").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    return x.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
+    nodes = components(pairs).withColumnRenamed("node", "class").join(classes.select("class", "n"), "class")
+    nodes = staged(nodes, "clusters")
+    count = nodes.count()
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("grams"))
+    x = skew_lookup(nodes.select("class", "root"), staged(sizes, "cluster-sizes", count), "root", "members", count, F.col("class"))
+    blocks = F.greatest(F.ceil(F.col("members") / F.lit(BLOCK)), F.ceil(F.col("grams") / F.lit(BLOCK_GRAMS))).cast("int")
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(count // BLOCK + 1).cast(LONG))).otherwise(F.col("root"))
+    return staged(x.withColumn("blocks", blocks).select("class", pack.alias("pack"), "blocks"), "places")
 
 
-def unsettled(found: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of postings of three or more, what is neither connected yet nor compared: members beside the hub, of two roots or
-    more, with their number and how many n-grams the largest has."""
-    many = found.where((F.col("members") > 2) & (F.col("class") != F.col("hub"))).select("sig", "class", "upper")
-    known = roots.withColumnRenamed("node", "class")
-    x = many.join(known, "class", "left").withColumn("root", F.coalesce("root", "class")).join(classes.select("class", "n"), "class")
-    of = x.groupBy("sig").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("members"), F.max("n").alias("most"))
-    return x.drop("n").join(of.where("one <> other").select("sig", "members", "most"), "sig")
+def block_of(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.col("blocks")).cast("int")
+
 
+def links(pairs: DataFrame, places: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: overlaps are counted in each fragment of the order by itself and summed per pair.
 
-def apart(root: np.ndarray, upper: np.ndarray) -> np.ndarray:
-    """Which pairs of a posting are still to be compared: of different roots, and not both of the upper class."""
-    return (root[:, None] != root[None]) & ~(upper[:, None] & upper[None])
+    The sets of two blocks of a cluster that have pairs meet in one group for each fragment.
+    """
+    x = pairs.join(places.withColumnRenamed("class", "a"), "a")
+    x = x.withColumn("i", F.least(block_of("a"), block_of("b"))).withColumn("j", F.greatest(block_of("a"), block_of("b")))
+    x = staged(x.select("a", "b", "pack", "blocks", "i", "j"), "placed-pairs")
+    # equal pack numbers of small clusters and of large ones are told apart by ``small``
+    cell = ["small", "pack", "i", "j"]
+    x = x.withColumn("small", F.col("blocks") == 1)
+    uses = x.select(*cell, F.col("a").alias("class")).unionByName(x.select(*cell, F.col("b").alias("class"))).distinct()
+    sets = uses.join(parts, "class")
+    listed = x.select(*(F.col(c).alias(c) for c in cell), "a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+
+    def run(_key, sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        who, at = np.unique(sets.column("class").to_numpy(), return_inverse=True)
+        n = np.zeros(len(who), np.int64)
+        n[at] = sets.column("n").to_numpy()
+        both = overlaps([cells(sets, at)], len(who)) if len(who) else np.zeros((0, 0), np.int64)
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        known = np.isin(a, who) & np.isin(b, who)  # else one has no n-gram here
+        a, b = a[known], b[known]
+        x, y = np.searchsorted(who, a), np.searchsorted(who, b)
+        some = both[x, y] > 0
+        return pa.table({"a": a[some], "b": b[some], "n_a": n[x][some], "n_b": n[y][some], "partial": both[x, y][some]})
+
+    counted = sets.groupBy(*cell, "fragment").cogroup(listed.groupBy(*cell, "fragment")).applyInArrow(run, "a long, b long, n_a long, n_b long, partial long")
+    x = counted.groupBy("a", "b").agg(F.sum("partial").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    return x.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) to be compared of postings of SMALL members at most, each pair once."""
-    packs = members.count() // (100 * SMALL) + 1
+def unsettled(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """sig, class, root of the postings of three or more in which sets beside the hub are neither connected yet nor compared."""
+    many = found.where((F.col("members") > 2) & (F.col("class") != F.col("hub"))).select("sig", "class", "upper")
+    known = roots.withColumnRenamed("node", "class")
+    x = many.join(known, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # pairs of the upper class meet in its own level: without a set of the lower class there is nothing to compare
+    of = x.groupBy("sig").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.min("upper").alias("upper"))
+    return x.drop("upper").join(of.where("one <> other and not upper").select("sig"), "sig")
 
-    def run(rows):
-        sig, who, root, upper = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "class", "root", "upper"))
-        order = np.argsort(sig, kind="stable")
-        starts = np.flatnonzero(np.r_[True, sig[order][1:] != sig[order][:-1]])
-        a, b = [], []
-        for s, e in zip(starts, np.r_[starts[1:], len(sig)], strict=True):
-            at = order[s:e]
-            x, y = np.nonzero(np.triu(apart(root[at], upper[at]), 1))
-            a.append(who[at][x])
-            b.append(who[at][y])
-        a, b = np.concatenate(a), np.concatenate(b)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        return pa.table({"a": both[0], "b": both[1]})
 
-    x = members.where(F.col("members") <= SMALL).select("sig", "class", "root", "upper", F.pmod(F.xxhash64("sig"), F.lit(packs)).alias("pack"))
-    return x.groupBy("pack").applyInArrow(run, "a long, b long").distinct()
+def cells(sets: pa.Table, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, n-gram) of all rows, whose sets are ``at``."""
+    grams = sets.column("grams").combine_chunks()
+    return np.repeat(at, grams.value_lengths().to_numpy()), grams.flatten().to_numpy()
 
 
-def overlaps(cells: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
+def overlaps(fragments: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     """Sizes of all intersections of ``m`` sets, from the (set, n-gram) of each fragment: partial overlaps are counted
     fragment by fragment, and summed per pair."""
     out = np.zeros((m, m), dtype=np.float32)
-    width = max(256, (1 << 22) // m)
-    for row, grams in cells:
-        grams, at = np.unique(grams, return_inverse=True)
+    width = max(256, (1 << 22) // max(1, m))
+    for row, grams in fragments:
+        grams, at, count = np.unique(grams, return_inverse=True, return_counts=True)
+        shared = count > 1  # the others are in no intersection
+        out[np.arange(m), np.arange(m)] += np.bincount(row[~shared[at]], minlength=m)
+        keep = shared[at]
+        row, at = row[keep], (np.cumsum(shared) - 1)[at[keep]]
         order = np.argsort(at, kind="stable")
         at, row = at[order], row[order]
-        for a in range(0, len(grams), width):
+        for a in range(0, int(shared.sum()), width):
             i, j = np.searchsorted(at, (a, a + width))
-            part = np.zeros((m, min(width, len(grams) - a)), dtype=np.float32)
+            part = np.zeros((m, width), dtype=np.float32)
             part[row[i:j], at[i:j] - a] = 1
             out += part @ part.T
     return out.astype(np.int64)
 
 
-def forests(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect what the links across roots connect, of postings of more than SMALL members.
+def forests(rest: DataFrame, places: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what links across roots connect in the postings of ``rest``.
 
-    A posting is dealt into blocks of BLOCK_GRAMS n-grams, and each two blocks of it are a group, which compares their
-    sets without emitting the pairs.
+    Two blocks of a cluster meet in a group with those of their sets that have a posting in common with the other block,
+    and the group compares all sets of different roots without emitting pairs.
     """
-    x = members.where(F.col("members") > SMALL)
-    room = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_GRAMS) / F.col("most"))))
-    x = x.withColumn("blocks", F.ceil(F.col("members") / room).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("sig", "class", "root", "upper", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    x = x.join(parts, "class")
-
-    def run(rows):
+    x = rest.join(places, "class").withColumn("block", block_of("class"))
+    of = x.groupBy("sig").agg(F.collect_set("block").alias("others"))
+    x = x.join(of, "sig").withColumn("other", F.explode("others"))
+    cell = ["small", "pack", "i", "j"]
+    x = x.withColumn("small", F.col("blocks") == 1).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    x = x.select(*cell, "class", "root").distinct().join(parts, "class")
+
+    def run(rows: pa.Table) -> pa.Table:
         who, at = np.unique(rows.column("class").to_numpy(), return_inverse=True)
         m = len(who)
-        root, n, upper = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, bool)
-        for into, name in ((root, "root"), (n, "n"), (upper, "upper")):
-            into[at] = rows.column(name).to_numpy(zero_copy_only=False)
-        fragment, grams = rows.column("fragment").to_numpy(), rows.column("grams").combine_chunks()
-        sizes, values = grams.value_lengths().to_numpy(), grams.flatten().to_numpy()
-        cell = np.repeat(fragment, sizes)
-        row = np.repeat(at, sizes)
-        both = overlaps([(row[cell == f], values[cell == f]) for f in range(FRAGMENTS)], m)
-        link = apart(root, upper) & (100 * both >= percent * (n[:, None] + n[None] - both))
+        root, n = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        root[at], n[at] = rows.column("root").to_numpy(), rows.column("n").to_numpy()
+        fragment = rows.column("fragment").to_numpy()
+        split = [np.flatnonzero(fragment == f) for f in range(FRAGMENTS)]
+        both = overlaps([cells(rows.take(pa.array(i)), at[i]) for i in split if len(i)], m)
+        link = (root[:, None] != root[None]) & (100 * both >= percent * (n[:, None] + n[None] - both))
         label = np.arange(m)
         while True:  # every set takes the least label among its links until none changes
             least = np.minimum(np.where(link, label[None], m).min(1), label)
@@ -395,7 +408,7 @@ def forests(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
         other = np.flatnonzero(label != np.arange(m))
         return pa.table({"a": who[other], "b": who[label[other]]})
 
-    return x.select("sig", "i", "j", "class", "root", "upper", "fragment", "n", "grams").groupBy("sig", "i", "j").applyInArrow(run, "a long, b long")
+    return x.select(*cell, "class", "root", "fragment", "n", "grams").groupBy(*cell).applyInArrow(run, "a long, b long")
 
 
 def row_order(doc_id: str = "doc_id") -> list[Column]:
@@ -409,10 +422,10 @@ def grouped(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> tuple[Dat
 
     Sets come from whole texts; equal sets are one class from there on.  The global order of all n-grams is cut into
     fragments, as many for a size that a linked pair agrees wholly on one at least: sets with the same segment there
-    make a posting.  The members of a posting are compared with one of them, and, after the components of these links
-    are known, with each member of another component (pairs in a large posting without leaving their task); so a group
-    of near copies is not compared pair by pair, and no link between components is lost.  A compared pair's overlaps are counted in each fragment of the order separately
-    and summed per pair.  N-grams and sets are known by 64-bit hashes.
+    make a posting.  The members of a posting are paired with one of them; each pair's overlaps are counted in every
+    fragment of the order separately and summed per pair.  After the components of these links are known, members of
+    different components are compared in blocks, which give a forest of their links and not the pairs; so a group of near
+    copies is not listed pair by pair, and no link between components is lost.  N-grams and sets are known by 64-bit hashes.
     """
     spark = docs.sparkSession
     sets = staged(sets_of(docs, n), "sets")
@@ -428,12 +441,12 @@ def grouped(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> tuple[Dat
     alike = sets.where("n > 0").groupBy("k").agg(F.count("*").alias("alike"))
     reps = live.join(classes.select("class", F.col("least.k").alias("k")), "class").join(alike, "k")
     parts = staged(parts_of(docs, staged(reps.select("class", "k", "alike"), "reps"), rows, n), "parts")
-    edges = staged(links(pairs, parts, percent), "links")
+    places = placed(pairs, classes)
+    edges = staged(links(pairs, places, parts, percent), "links")
     roots = components(edges)
-    rest = staged(unsettled(found, roots, classes), "unsettled")
-    if not rest.isEmpty():
-        more = links(staged(across(rest), "more-pairs"), parts, percent).unionByName(forests(rest, parts, percent))
-        edges = staged(edges.unionByName(more), "links")
+    more = staged(forests(staged(unsettled(found, roots), "unsettled"), places, parts, percent), "more-links")
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
         roots = components(edges)
     linked = roots.count()
     ids = classes.join(roots.select(F.col("node").alias("class"), "root"), "class")
