@@ -1,14 +1,15 @@
-"""Main text of web pages by a site style tree: one tree a host, importance by entropy, low branches removed."""
+"""Main text of web pages by a site style tree: one tree a host, importance by entropy, branches of little of it removed."""
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -20,9 +21,9 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 CELLS = frozenset(("td", "th", "caption"))
-RAW = frozenset("script style textarea title iframe xmp noframes noembed noscript template svg annotation annotation-xml object select button head".split())
+RAW = frozenset("script style textarea title iframe xmp noframes noembed noscript template svg annotation annotation-xml select button head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form menu dialog search fieldset dir".split())
+DROPPED = frozenset("nav footer aside form menu dialog search fieldset".split())
 MAIN = frozenset(("article", "main"))
 SCOPES = frozenset("article aside blockquote body dd details div fieldset figure footer form header li main nav section table tbody td th thead tr ul ol dl html".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "tbody": ("tbody", "thead"), "tfoot": ("tbody", "thead")}  # what a start tag ends, beside an open p
@@ -38,7 +39,7 @@ LAYOUT = "area bar block box buttons container content inner left list links out
 NAMED = re.compile(rf"(?:^|\s)(?!(?:no|not|has|have|with|without|hide|show|is)[_-])(?:\S*[_-])?(?:{'|'.join(NAMES)})(?:[_-]+(?:{'|'.join(LAYOUT)}))*(?=$|\s)", re.I)
 #: Names that count outside of article and main only, as a header element does.
 HEADED = re.compile(r"(?:^|\s)(?:(?:site|global|top)[_-]+)?(?:header|masthead)(?=$|\s)", re.I)
-#: The share of an article's text from which a name does not remove a branch of it.
+#: The share of an article's text from which a branch of it does not go.
 WHOLE = 0.9
 
 TOKEN = re.compile(
@@ -46,21 +47,24 @@ TOKEN = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
+#: What may still come after the last '>' of a page.
+OPEN = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
-#: Branches of less importance go; within the main element, those of a tenth of it.
-LEAST = 0.5
-#: A style node is judged from so many different pages of its host.
-PAGES = 8
+#: A branch goes that has less than this share of the importance of its host's text: by what it says and how it is laid
+#: out alone, within a main element, and if its name is one of NAMES.
+LEAST, INNER, SAID = 0.6, 0.06, 0.9
+#: The prior counts as so many pages: on them a branch is of importance 1, or 0 if its name is one of NAMES.
+PRIOR = 8
 #: Weight of what a branch says against how it is laid out, by the power of its height.
 DECAY = 0.9
 
-NODE = "host string, page long, key long, height int, style long, content long"
+NODE = "host string, page long, key long, height int, style long, content long, chars long, named boolean, inner boolean"
 
 
 class Tree:
-    """The block elements of a page, as parallel lists, and its blocks of text (element, words, whether a rule drops it)."""
+    """The block elements of a page, as parallel lists, and its blocks of text (element, words)."""
 
     def __init__(self, html: str):
         self.parent, self.key, self.tag = [-1], [0], [""]
@@ -68,8 +72,6 @@ class Tree:
         self.links: list[list[str]] = [[]]
         self.blocks: list[tuple[int, str]] = []
         self._read(html)
-        if any(self.named):
-            self._settle()
 
     def _open(self, tag: str, name: str, low: bool, named: bool, up: int) -> int:
         self.parent.append(up)
@@ -82,30 +84,17 @@ class Tree:
         self.links.append([])
         return len(self.key) - 1
 
-    def _settle(self) -> None:
-        """``low`` also for branches with names, but not for one with most of the page's main elements' text (of its text,
-        where it has none), nor for nearly all of an article: what it is, the tree of the site must tell."""
-        n = len(self.key)
-        said, main = [0] * n, [0] * n
-        for i, text in self.blocks:
-            if not self.low[i]:
-                said[i] += len(text)
-                main[i] += len(text) if self.main[i] else 0
-        for i in range(n - 1, 0, -1):
-            said[self.parent[i]] += said[i]
-            main[self.parent[i]] += main[i]
-        of = main if main[0] else said
-        for i in range(1, n):
-            self.low[i] = self.low[i] or self.low[self.parent[i]]
-            if self.named[i] and not self.low[i]:
-                a = self.article[self.parent[i]]
-                self.low[i] = said[i] < WHOLE * said[a] if a else 2 * of[i] < of[0] or not of[i]
-
     def _read(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]  # open block elements
         muted: list[str] = []  # open inline elements that a rule drops
         buffer: list[str] = []
-        at, end = 0, len(html)
+        opened: Counter = Counter()  # how many elements of a tag are on the stack
+        endless: set[str] = set()  # raw elements that nothing closes from here on
+        at, end, last = 0, len(html), html.rfind(">")
+
+        def cut(i: int) -> None:
+            opened.subtract(tag for tag, _ in stack[i:])
+            del stack[i:]
 
         def flush() -> None:
             if buffer:
@@ -114,20 +103,24 @@ class Tree:
                 buffer.clear()
 
         while at < end:
-            m = TOKEN.search(html, at)
+            m = at <= last and TOKEN.search(html, at, last + 1) or OPEN.search(html, max(at, last + 1))
             stop = m.start() if m else end
             if stop > at and not muted:
                 buffer.append(unescape(html[at:stop]))
             if m is None:
                 break
             at = m.end()
-            tag = m[2] or m[5]
+            if at == last + 1 and m[0].startswith(("<!--", "<![CDATA[")) and not m[0].endswith(("-->", "--!>", "]]>")):
+                break  # what nothing closes holds all that follows
+            tag = m.lastindex and (m[2] or m[5])
             if not tag:
                 continue
             tag, closing, rest = tag.lower(), m[1] or m[4], (m[3] if m[2] else m[6]) or ""
             if tag in RAW and not closing:
                 if not rest.endswith("/"):
-                    over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                    over = None if tag in endless else re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at, last + 1)
+                    if not over:
+                        endless.add(tag)
                     # what is never closed would swallow the page: only scripts and the like may do so
                     at = over.end() if over else end if tag in ("script", "style", "textarea", "title") else at
                 continue
@@ -152,15 +145,13 @@ class Tree:
             muted.clear()
             flush()
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if opened[tag]:
+                    cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
                 continue
             for ended in (("p",), CLOSES.get(tag, ())):  # start tags that end an open element
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ended) else ():
                     if stack[i][0] in ended:
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i][0] in SCOPES and not (stack[i][0] == "tr" and "tbody" in ended):
                         break
@@ -171,6 +162,7 @@ class Tree:
             node = self._open(tag, name, low, named and may, up)
             if tag not in VOID:
                 stack.append((tag, node))
+                opened[tag] += 1
         flush()
 
     @staticmethod
@@ -190,70 +182,110 @@ class Tree:
                 link = v
         return " ".join(name), low, named, link
 
-    def features(self) -> list[tuple[int, int, int, int]]:
-        """key, height, style (tags of the children), content (texts and links of the branch) of each style node."""
+    def features(self) -> list[tuple]:
+        """Of each style node that no rule drops: key, height, style (tags of the children), content (texts and links of the
+        branch), how many characters it holds itself, whether it is named, and whether it is in a main element."""
         n = len(self.key)
-        height, child, said = [0] * n, [[] for _ in range(n)], [[] for _ in range(n)]
+        height, chars, child, said = [0] * n, [0] * n, [[] for _ in range(n)], [[] for _ in range(n)]
         for node, text in self.blocks:
             said[node].append(text)
+            chars[node] += len(text)
         for i in range(n - 1, 0, -1):  # children come after their parents
             said[i] += self.links[i]
             up = self.parent[i]
             height[up] = max(height[up], height[i] + 1)
             child[up].append(self.tag[i])
             said[up].append(str(xxh3_64_intdigest("\n".join(said[i]).encode())))
-        by_key: dict[int, tuple[int, list, list]] = {}
+        by_key: dict[int, list] = {}
         for i in range(1, n):
-            h, style, content = by_key.get(self.key[i], (0, [], []))
-            by_key[self.key[i]] = (max(h, height[i]), [*style, *reversed(child[i]), "/"], [*content, *said[i], "/"])
+            if not self.low[i]:
+                known = by_key.setdefault(self.key[i], [0, [], [], 0, self.named[i], self.main[i]])
+                known[0] = max(known[0], height[i])
+                known[1] += [*reversed(child[i]), "/"]
+                known[2] += [*said[i], "/"]
+                known[3] += chars[i]
         digest = lambda xs: xxh3_64_intdigest("\n".join(xs).encode()) >> 1
-        return [(k, h, digest(style), digest(content)) for k, (h, style, content) in by_key.items()]
-
-    def text(self, weak: frozenset[int], weakest: frozenset[int]) -> str:
-        """The blocks that neither a rule nor the tree of the site removes; of the main elements only, if any is left."""
-        gone = [False] * len(self.key)
-        for i in range(1, len(self.key)):
-            gone[i] = gone[self.parent[i]] or self.low[i] or self.key[i] in (weakest if self.main[i] else weak)
-        left = [(i, t) for i, t in self.blocks if not gone[i]]
+        return [(k, h, digest(style), digest(content), *more) for k, (h, style, content, *more) in by_key.items()]
+
+    def text(self, weak: frozenset[int], stay: frozenset[int] | None = None) -> str:
+        """The blocks that neither a rule nor the tree of the site (``weak``: keys) removes; of the main elements only, if any
+        is left.  ``stay``: without a tree, branches with names go but for these keys.
+
+        What holds most of the page's main elements' text (of its text, where it has none) stays, and so does nearly all
+        of an article.  A page of which the tree would leave nothing is left to the rules.
+        """
+        n = len(self.key)
+        may = [self.key[i] in weak or (stay is not None and self.named[i] and self.key[i] not in stay) for i in range(n)]
+        gone = [False] * n
+        if any(may):
+            said, main = [0] * n, [0] * n
+            for i, text in self.blocks:
+                if not self.low[i]:
+                    said[i] += len(text)
+                    main[i] += len(text) if self.main[i] else 0
+            for i in range(n - 1, 0, -1):
+                said[self.parent[i]] += said[i]
+                main[self.parent[i]] += main[i]
+            for i in range(1, n):
+                gone[i] = gone[self.parent[i]]
+                if may[i] and not gone[i]:
+                    a = self.article[self.parent[i]]
+                    most = said[i] >= WHOLE * said[a] if a else 2 * main[i] >= main[0] if main[0] else self.named[i] and 2 * said[i] >= said[0]
+                    gone[i] = not most or not said[i]
+        left = [(i, t) for i, t in self.blocks if not self.low[i] and not gone[i]] or [(i, t) for i, t in self.blocks if not self.low[i]]
         main = [t for i, t in left if self.main[i]]
         return "\n\n".join(main or [t for _, t in left])
 
 
 def style_tree(pages: DataFrame, least: float = LEAST) -> DataFrame:
-    """page, copies, weak, weakest: keys of each page's style nodes that are of little importance in its host's merged tree.
+    """page, copies, weak: keys of each page's style nodes that are of little importance in its host's merged tree.
 
     ``pages``: host, page (the hash of host and html; null where the host is), html.  Pages of equal html count once.  A
     node's content importance is the entropy of its contents over the host's pages, its presentation importance that of
     its child sequences, both against the logarithm of the node's pages: 0 if all pages agree, 1 if none do.  A branch of
-    height h weighs content by DECAY ** h, presentation by the rest.  Every node on PAGES of the host's pages is judged,
-    and what is found goes to the pages by node, nodes of many pages by broadcast: nothing is held by host.
+    height h weighs content by DECAY ** h, presentation by the rest.  Every node is judged, on however few pages: a prior
+    of PRIOR pages joins what the m pages say.  A node goes whose importance is less than ``least`` times that of the
+    host's text (its nodes' importance, weighed by their characters); in proportion less within main elements, and more
+    if its class or id is a name of boilerplate.  What is found goes to the pages by node, nodes of many pages by
+    broadcast: nothing is held by host.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), *(pa.int64(),) * 2, pa.int32(), *(pa.int64(),) * 3, *(pa.bool_(),) * 2)
+        names = ["host", "page", "key", "height", "style", "content", "chars", "named", "inner"]
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 rows = [(host, page, *f) for host, page, html in zip(*(c.to_pylist() for c in b.slice(a, 512).columns), strict=True) for f in Tree(html).features()]
-                cols = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["host", "page", "key", "height", "style", "content"])
+                cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     known = pages.where("host is not null")
-    x = known.select("host", "page", "html").mapInArrow(parse, NODE).withColumn("node", F.xxhash64("host", "key"))
-    x = staged(x.groupBy("node", "page").agg(F.min("key").alias("key"), F.max("height").alias("height"), F.min("style").alias("style"), F.min("content").alias("content")), "page-nodes")
-
-    def entropy(what: str) -> DataFrame:
-        each = x.groupBy("node", what).agg(F.count("*").alias("n"), F.max("height").alias("height"))
-        e = each.groupBy("node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"), F.max("height").alias("height")).where(F.col("m") >= PAGES)
-        h = 1 - F.col("s") / (F.col("m") * F.ln("m"))
-        return e.select("node", F.col("m").alias(f"m_{what}"), F.greatest(F.lit(0.0), h).alias(f"h_{what}"), F.col("height").alias(f"height_{what}"))
-
-    nodes = entropy("content").join(entropy("style"), "node")
-    weight = F.pow(F.lit(DECAY), F.col("height_content"))
-    nodes = nodes.withColumn("importance", weight * F.col("h_content") + (1 - weight) * F.col("h_style"))
+    x = known.select("host", "page", "html").mapInArrow(parse, NODE).withColumn("node", F.xxhash64("host", "key")).withColumn("site", F.xxhash64("host"))
+    one = ("site", "key", "height", "style", "content", "chars", "named", "inner")
+    x = staged(x.groupBy("node", "page").agg(*(F.min(c).alias(c) for c in one)), "page-nodes")
+
+    def entropy(what: str, *more: Column) -> DataFrame:
+        each = x.groupBy("node", what).agg(F.count("*").alias("n"), F.max("height").alias("height"), F.sum("chars").alias("chars"), *(F.min(c).alias(c) for c in ("site", "named", "inner")))
+        e = each.groupBy("node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.ln("n")).alias("s"), *more)
+        h = F.when(F.col("m") > 1, F.greatest(F.lit(0.0), 1 - F.col("s") / (F.col("m") * F.ln("m")))).otherwise(F.lit(1.0))
+        return e.withColumn(f"h_{what}", h).drop("s")
+
+    more = (F.max("height").alias("height"), F.sum("chars").alias("chars"), *(F.min(c).alias(c) for c in ("site", "named", "inner")))
+    nodes = entropy("content", *more).join(entropy("style").drop("m"), "node")
+    weight = F.pow(F.lit(DECAY), F.col("height"))
+    nodes = staged(nodes.withColumn("told", F.col("m") * (weight * F.col("h_content") + (1 - weight) * F.col("h_style"))), "style-nodes")
+    importance = (F.col("told") + F.when(F.col("named"), 0.0).otherwise(float(PRIOR))) / (F.col("m") + PRIOR)
+    unnamed = (F.col("told") + PRIOR) / (F.col("m") + PRIOR)
+    hosts = nodes.groupBy("site").agg((F.sum(unnamed * F.col("chars")) / F.sum("chars")).alias("usual"), F.count("*").alias("nodes"))
+    hosts = staged(hosts, "sites")
+    nodes = skew_lookup(nodes, hosts, "site", "nodes", nodes.count(), F.col("node"))
+    share = F.when(F.col("named"), SAID).when(F.col("inner"), least * INNER / LEAST).otherwise(least)
     # important nodes stay in: skew_lookup must know of every node with many pages
-    judged = staged(nodes.select("node", F.col("m_content").alias("m"), (F.col("importance") < least).alias("low"), (F.col("importance") < least / 10).alias("lowest")), "style-nodes")
+    judged = staged(nodes.select("node", "m", (importance < share * F.coalesce("usual", F.lit(1.0))).alias("low")), "judged-nodes")
     found = skew_lookup(x.select("node", "page", "key"), judged, "node", "m", x.count(), F.col("page")).where("low")
-    weak = found.groupBy("page").agg(F.sort_array(F.collect_list("key")).alias("weak"), F.sort_array(F.collect_list(F.when(F.col("lowest"), F.col("key")))).alias("weakest"))
-    return known.groupBy("page").agg(F.count("*").alias("copies")).join(weak, "page", "left")
+    weak = found.groupBy("page").agg(F.sort_array(F.collect_list("key")).alias("weak"))
+    weak = known.groupBy("page").agg(F.count("*").alias("copies")).join(weak, "page", "left")
+    return weak.select("page", "copies", F.coalesce("weak", F.array().cast("array<bigint>")).alias("weak"))
 
 
 def extracted(pages: DataFrame, least: float = LEAST) -> DataFrame:
@@ -275,18 +307,19 @@ def extracted(pages: DataFrame, least: float = LEAST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 512):
-                ids, urls, htmls, weak, weakest = (c.to_pylist() for c in b.slice(a, 512).columns)
-                sets = lambda keys: frozenset(keys or ())
-                texts = [Tree(zlib.decompress(h).decode()).text(sets(w), sets(v)) for h, w, v in zip(htmls, weak, weakest, strict=True)]
+                ids, urls, htmls, weak = (c.to_pylist() for c in b.slice(a, 512).columns)
+                none = frozenset()
+                texts = [Tree(zlib.decompress(h).decode()).text(frozenset(w or ()), none if w is None else None) for h, w in zip(htmls, weak, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return x.select("page_id", "url", "html", "weak", "weakest").mapInArrow(run, "page_id long, url string, text string")
+    return x.select("page_id", "url", "html", "weak").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page.
 
-    Null or empty html: an empty text.  A page whose url is null or has no host is judged by the rules alone, as are
-    those of hosts with few pages.  Null or repeated page_ids: a row for each row.  Empty table: no rows.
+    Null or empty html: an empty text.  A page whose url is null or has no host is judged by the rules and by names.
+    Null or repeated page_ids: a row for each row.  Empty table: no rows.  Reading a page takes time in proportion to its
+    length, well-formed or not.  Further columns are not read.
     """
     return extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
