@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import only, packed, pinned, table, unpacked
+from quern.llm.common import only, packed, pinned, staged, table, unpacked
 
 # Fixed values of the contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,10 +31,11 @@ ENCODINGS = (
 )
 #: Upper ends of the length bands within which false discoveries are controlled, each for itself.
 BANDS = (23, 31, 47, 95)
-#: The share of wrongly cleared runs among those cleared as not random, and the least p of a run that is reported.
-RATE, FLOOR = 0.05, 0.001
-#: p-values are counted by quarters of a decade.
-BINS = 48
+#: The share of false discoveries, both of runs wrongly cleared as not random among the cleared and of false reports among
+#: the reported.
+RATE = 0.05
+#: p-values are counted by quarters of a decade.  Runs in the bins below SURE (p over 0.1) tell how many random ones there are.
+BINS, SURE = 48, 4
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -72,8 +73,8 @@ def guarded(text: Column, guard: str, pattern: str, group: int, least: int) -> C
 
 
 def tail(z: Column) -> Column:
-    """Chance of a normal number of that size or more on either side."""
-    return F.exp(-0.717 * F.abs(z) - 0.416 * z * z)
+    """The logarithm of the chance of a normal number of that size or more on either side."""
+    return -0.717 * F.abs(z) - 0.416 * z * z
 
 
 def p_random(v: Column, k: Column, classes: Column, kinds: Column) -> Column:
@@ -100,7 +101,7 @@ def p_random(v: Column, k: Column, classes: Column, kinds: Column) -> Column:
     turns = total(F.zip_with(F.slice(kinds, 1, F.size(v) - 1), F.slice(kinds, 2, F.size(v) - 1), lambda x, y: F.when(x != y, 1.0).otherwise(0.0)))
     z_turns = (turns - (n - 1) * (1 - same)) / F.sqrt((n - 1) * same * (1 - same))
     z_serial = total(F.zip_with(a, b, lambda x, y: (x - middle) * (y - middle))) / ((k * k - 1) / 12) / F.sqrt(n - 1)
-    y = -(F.ln(tail(z_chi)) + F.ln(tail(z_class)) + F.ln(tail(z_runs)) + F.ln(tail(z_turns)) + F.ln(tail(z_serial)))
+    y = -(tail(z_chi) + tail(z_class) + tail(z_runs) + tail(z_turns) + tail(z_serial))
     return F.exp(-y) * (1 + y + y * y / 2 + F.pow(y, F.lit(3.0)) / 6 + F.pow(y, F.lit(4.0)) / 24)
 
 
@@ -156,32 +157,54 @@ def outermost(spans: Column) -> Column:
     return F.aggregate(spans, empty, step, lambda acc: acc.out)
 
 
-def cleared(x: DataFrame) -> list[int]:
-    """For each band the least bin that is cleared as not random (BINS: none).
+def counted(x: DataFrame) -> list[list[int]]:
+    """Candidates of the corpus by band and bin; so many numbers reach the driver."""
+    out = [[0] * BINS for _ in range(len(BANDS) + 1)]
+    for r in x.select(F.explode("runs").alias("r")).groupBy("r.band", "r.bin").count().collect():
+        out[r["band"]][r["bin"]] = r["count"]
+    return out
+
+
+def least_cleared(counts: list[int]) -> int:
+    """Of one band the least bin that is cleared as not random (BINS: none).
 
-    A step-up rule over all candidates of the corpus: runs are cleared up to the largest p with p <= RATE * (runs of
-    p or less) / (runs of the band).  p of a bin is its upper end.  Counts of BINS bins in each band reach the driver.
+    A step-up rule over the band's candidates: runs are cleared up to the largest p with p <= RATE * (runs of p or
+    less) / (runs of the band).  p of a bin is its upper end.
     """
-    rows = x.select(F.explode("runs").alias("r")).groupBy("r.band", "r.bin").count().collect()
-    out = []
-    for band in range(len(BANDS) + 1):
-        counts = {r["bin"]: r["count"] for r in rows if r["band"] == band}
-        m = sum(counts.values())
-        least, below = BINS, 0
-        for b in range(BINS - 1, -1, -1):
-            below += counts.get(b, 0)
-            if m and below and 10 ** (-b / 4) <= RATE * below / m:
-                least = b
-        out.append(least)
-    return out
+    m, least, below = sum(counts), BINS, 0
+    for b in range(BINS - 1, -1, -1):
+        below += counts[b]
+        if m and below and 10 ** (-b / 4) <= RATE * below / m:
+            least = b
+    return least
+
 
+def limit(counts: list[int]) -> int:
+    """The bin of one band below which runs are reported.
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` (text and whatever else) with ``assign``, ``access``, ``hex`` and ``random``: arrays of spans."""
-    import math
+    It is the least bin that is cleared, or a lower one if too many of the reports would be false.  As p is uniform for
+    random runs, those with p over 0.1 tell how many random ones to expect above any p; what is reported beyond these
+    counts as false, and may be RATE of the reports at most.
+    """
+    random = sum(counts[:SURE]) / (1 - 10 ** (-SURE / 4))
+    for b in range(least_cleared(counts), SURE, -1):
+        reports = sum(counts[:b])
+        if reports - random * (1 - 10 ** (-b / 4)) <= RATE * reports:
+            return b
+    return SURE
 
-    candidates = with_runs(only(docs, "text").withColumn("text", F.coalesce("text", F.lit(""))))
-    last = [min(b, 1 + math.floor(-4 * math.log10(FLOOR))) for b in cleared(candidates)]
+
+def cleared(x: DataFrame) -> list[int]:
+    """For each band the least bin that is cleared as not random."""
+    return [least_cleared(c) for c in counted(x)]
+
+
+def scanned(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with ``assign``, ``access``, ``hex`` and ``random``: arrays of spans in ``text``.
+
+    Texts are read once: what is found in them is written to the shared folder, for the counts of the whole corpus
+    decide which runs are reported.
+    """
     text = F.col("text")
     x = docs.withColumn("text", F.coalesce("text", F.lit("")))
     x = pinned(
@@ -190,10 +213,11 @@ def scanned(docs: DataFrame) -> DataFrame:
         access=guarded(text, "AKIA[A-Z0-9]{14}", ACCESS, 0, LEAST["access"]),
         hex=guarded(text, "[0-9a-f]{16}", "[0-9a-f]{16,}", 0, LEAST["hex"]),
     )
-    x = with_runs(x)
+    x = staged(with_runs(x).select(*keep, "assign", "access", "hex", "runs"), "secret-runs")
+    last = [limit(c) for c in counted(x)]
     base = F.concat("assign", "access", "hex")
-    limit = lambda r: F.get(F.array(*map(F.lit, last)), r.band)
-    free = F.filter("runs", lambda r: (r.bin < limit(r)) & ~F.exists(base, lambda s: (s.start < r.end) & (r.start < s.end)))
+    of = lambda r: F.get(F.array(*map(F.lit, last)), r.band)
+    free = F.filter("runs", lambda r: (r.bin < of(r)) & ~F.exists(base, lambda s: (s.start < r.end) & (r.start < s.end)))
     return pinned(x, random=outermost(free)).drop("runs")
 
 
@@ -215,7 +239,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     A null text stays null, and a text without secrets stays as it is.  ``n_chars``, where there is one, follows the text.
     """
-    x = scanned(packed(docs, "text"))
+    x = scanned(packed(docs, "text"), "text", "_row")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -236,8 +260,9 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document.
 
     Null or empty text: no spans.  Null or repeated doc_ids: a row for each row.  Spans of the battery (kind random) that
-    would overlap one of the base kinds, or lie in another one of the battery, are left out.  Empty table: no rows.  Places count code points of the whole text.
+    would overlap one of the base kinds, or lie in another one of the battery, are left out.  Empty table: no rows.  Places count code points
+    of the whole text, of whatever length.  Further columns are not read.
     """
-    x = scanned(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    x = scanned(only(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
     n = lambda c: F.size(c).cast("long")
     return x.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(listed(KINDS[:3]), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
