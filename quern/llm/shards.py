@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quern.llm.common import only, staged, table
+from quern.llm.common import only, skew_lookup, staged, table
 
 LONG = "long"
 
@@ -47,10 +47,22 @@ def range_of(key, cuts: list[int]):
     return start + F.size(F.filter(part, lambda c: c <= key))
 
 
+def apart(keys: DataFrame) -> DataFrame:
+    """``keys`` with another ``d`` for each of the rows that text and doc_id can't tell apart, from their place in the table.
+
+    These rows give the same results in any order, so a rerun gives the same as long as rows differ in text or doc_id.
+    """
+    x = keys.withColumn("row", F.xxhash64("h", "d"))
+    again = x.groupBy("row").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("again", F.lit(True))
+    x = skew_lookup(x, staged(again, "shard-repeats"), "row", "rows", keys.count(), F.col("place"))
+    x = x.withColumn("d", F.when(F.col("again"), F.xxhash64("d", "place")).otherwise(F.col("d")))
+    return staged(x.drop("row", "rows", "again", "place"), "shard-rows")
+
+
 def sharded(docs: DataFrame, shards: int = 40, *, per_shard: int = 64, per_range: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every row.
 
-    Rows are ordered by (hash of the text, hash of the row's identity) and cut into ``shards`` runs of near-equal
+    Rows are ordered by (hash of the text, hash of the row's identity: its doc_id, and its place where rows have both alike) and cut into ``shards`` runs of near-equal
     bytes, in three steps.  Sampled splitters make ``shards * per_shard`` ranges of the text's hash.  The exact bytes
     of each range are counted, and a range of over twice its share (a large group of equal texts, or an unlucky
     sample) is subdivided by the identity's hash.  Prefix sums over the ranges, then over the rows within each, give
@@ -66,8 +78,9 @@ def sharded(docs: DataFrame, shards: int = 40, *, per_shard: int = 64, per_range
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
         F.xxhash64(F.lit("row"), "doc_id").alias("d"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    x = staged(x, "shard-keys")
+    x = apart(staged(x, "shard-keys"))
     total = x.agg(F.sum("size")).first()[0] or 0
     ranges = shards * per_shard
     share = max(1, total // ranges)
@@ -103,7 +116,8 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null text: size 16 and the CRC of no bytes.  Null or repeated doc_ids: each row has a slot of its own (which of two
     rows equal in every column has which slot makes no difference).  Empty table: no rows.  Long texts: a text is
-    never cut, so a shard can exceed its share by half of its largest group of equal texts, or text.
+    never cut, so a shard can exceed its share by half of its largest group of equal texts (a range's share at most), or text.
+    Further columns are not read.
     """
     x = sharded(table(spark, sf_dir, "documents"))
     return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
