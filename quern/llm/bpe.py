@@ -19,7 +19,8 @@ FREE, NONE = np.int64(-1), np.int32(2**31 - 1)
 #: Widths of the matrices; a piece of more bytes than the last is merged with a heap, whose time is n log n.
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256, 512)
 CELLS = 1 << 18
-CACHED = 400_000
+#: Words that a task remembers, and their bytes, at most.
+CACHED, CACHED_BYTES = 400_000, 4 << 20
 CHUNK = 4 << 20
 
 
@@ -76,6 +77,7 @@ class Coder:
         left, right, merged = (np.array(c, dtype=np.int32) for c in zip(*pairs, strict=True))
         self.pairs = PairTable(left, right, merged)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
 
     def _matrix(self, pieces: list[bytes], width: int) -> list[list[int]]:
         """Merges rows of at most ``width`` bytes together: in each round every row merges its leftmost minimum-rank
@@ -166,10 +168,16 @@ class Coder:
         split = [self.find(t) for t in texts]
         known = self.known
         new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > CACHED:
+        coded = [w.encode() for w in new]
+        size = sum(map(len, coded))
+        if len(known) + len(new) > CACHED or self.held + size > CACHED_BYTES:
             known.clear()
+            self.held = 0
             new = list({w for words in split for w in words})
-        for w, ids in zip(new, self.pieces([w.encode() for w in new]), strict=True):
+            coded = [w.encode() for w in new]
+            size = sum(map(len, coded))
+        self.held += size
+        for w, ids in zip(new, self.pieces(coded), strict=True):
             known[w] = tuple(ids)
         for words in split:
             yield list(chain.from_iterable(map(known.__getitem__, words)))
@@ -227,7 +235,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document and decodes the ids again.
 
     Null or empty text: no ids, and the digests of nothing.  Null or repeated doc_ids: a row for each row.  Empty table:
-    no rows.  Texts are never cut; a run without a break of over 512 bytes is merged by a heap, to the same ids.
+    no rows, and further columns are not read.  Texts are never cut; a run without a break of over 512 bytes is merged by a heap, to the same ids.
     """
     import public_tokenizers
 

@@ -96,7 +96,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Turns are ordered by turn (null first), then role, then text, so ties and repeated rows have a place each.  Null
     text or role: empty.  Rows of null conv_id are one conversation.  An empty table leaves conversation -1.  A turn of
-    any length is one span; the digest of a conversation needs all its turns in one row.
+    any length is one span; the digest of a conversation needs all its turns in one row.  Further columns are not read.
     """
     x = only(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")

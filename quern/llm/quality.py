@@ -105,7 +105,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null or empty text: no words, so base_failed.  Null or repeated doc_ids: a row for each row; the trusted text has
     each row of a trusted doc_id.  A doc_id with different labels is not trusted.  No labels: the ratio is 0 and only
-    the base rules count.  Windows are compared by 64-bit hashes.  Empty table: no rows.
+    the base rules count.  Windows are compared by 64-bit hashes.  Empty table: no rows.  Texts of any length count
+    whole; further columns are not read.
     """
     x = judged(only(table(spark, sf_dir, "documents"), "doc_id", "text"), table(spark, sf_dir, "labels"))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_grams")

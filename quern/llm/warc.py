@@ -19,10 +19,12 @@ CRLF = b"\r\n"
 
 
 def _open(uri: str):
-    """The file system and path of ``uri``: any that pyarrow knows (file, s3, gs, hdfs)."""
+    """The file system and path of ``uri``: any that pyarrow knows (file, s3, gs, hdfs), s3 also by its names in Hadoop."""
+    import re
+
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 def _clean(url: str) -> str:
@@ -141,7 +143,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null html: an empty payload, a response.  Null url: no target URI.  Repeated rows of the smallest page_id among
     equal payloads are all responses; a null page_id is never the smallest, and such a row revisits the smallest where
-    one exists.  An empty table gives no rows; further columns are ignored.
+    one exists.  An empty table gives no rows; further columns are ignored.  A page of any length is one record, never cut.
     """
     out = new_dir(spark, "warc")
     return read_records(write_archive(table(spark, sf_dir, "pages"), out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from math import log
+from math import exp, log
 
 from xxhash import xxh64
 
@@ -60,9 +60,31 @@ def secrets(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16])
 
 
-def masked(text: str) -> str:
+def randomness(run: str, alphabet: str) -> float:
+    """The battery on one run: five tests against uniform draws from the alphabet, by Fisher's combination."""
+    v, k, n = [alphabet.index(c) for c in run], len(alphabet), len(run)
+    chi = k / n * sum(c * c for c in Counter(v).values()) - n
+    zs = [max(0.0, (chi - (k - 1)) / (2 * (k - 1) * (n - 1) / n) ** 0.5)]
+    share = [(sum(map(f, alphabet)) / k, sum(map(f, run))) for f in (str.isdigit, str.isupper, str.islower)]
+    share = [x for x in share if x[0]]
+    df = max(1, len(share) - 1)
+    zs.append(max(0.0, (sum((c - n * s) ** 2 / (n * s) for s, c in share) - df) / (2 * df) ** 0.5))
+    middle = (k - 1) / 2
+    high = [x > middle for x in v]
+    mean = 2 * sum(high) * (n - sum(high)) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    zs.append((1 + sum(a != b for a, b in zip(high, high[1:])) - mean) / spread**0.5 if spread > 0 else 9.0)
+    kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 for c in run]
+    same = sum(s * s for s, _ in share)
+    zs.append((sum(a != b for a, b in zip(kinds, kinds[1:])) - (n - 1) * (1 - same)) / ((n - 1) * same * (1 - same)) ** 0.5)
+    zs.append(sum((a - middle) * (b - middle) for a, b in zip(v, v[1:])) / ((k * k - 1) / 12) / (n - 1) ** 0.5)
+    y = sum(0.717 * abs(z) + 0.416 * z * z for z in zs)
+    return exp(-y) * (1 + y + y * y / 2 + y**3 / 6 + y**4 / 24)
+
+
+def masked(text: str, more: tuple = ()) -> str:
     out, at = "", 0
-    for start, _, end in secrets(text):
+    for start, _, end in sorted(secrets(text) + list(more)):
         if start >= at:
             out += text[at:start] + "[SECRET]"
         at = max(at, end)
@@ -90,7 +112,7 @@ def components(docs: list[tuple[int, str | None]]) -> list[int]:
 
 
 def mix(docs: list[tuple[int, str | None, str | None]]) -> list[tuple[int, int, float, int]]:
-    """(size, source size, target, copies) of each (doc_id, text, source), the excess reshared step by step."""
+    """(size, source size, target, copies) of each (doc_id, text, source), the excess reshared step by step and the draws spread evenly."""
     size = [len(WORD.findall(t or "")) for _, t, _ in docs]
     sources: dict = {}
     for n, (_, _, s) in zip(size, docs):
@@ -107,9 +129,16 @@ def mix(docs: list[tuple[int, str | None, str | None]]) -> list[tuple[int, int,
             break
         full |= more
     target = {s: float(3 * sources[s]) if s in full else level * weight[s] for s in names}
-    out = []
-    for n, (i, _, s) in zip(size, docs):
-        rate = target[s] / sources[s] if sources[s] else 0.0
-        u = int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 16**13
-        out.append((n, sources[s], target[s], int(rate) + (u < rate - int(rate))))
-    return out
+    h = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:13], 16)
+    drawn = [h(f"mix:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}") for i, t, _ in docs]
+    groups: dict = {}
+    rows = Counter(s for *_, s in docs)
+    for j, (_, _, s) in enumerate(docs):
+        groups.setdefault((s, drawn[j] % -(-rows[s] // 10_000)), []).append(j)
+    extra = [0] * len(docs)
+    for (s, g), members in groups.items():
+        part = target[s] / sources[s] % 1 if sources[s] else 0.0
+        u = h(f"mix:s{'' if s is None else ':' + s}:{g}") / 16**13
+        for k, j in enumerate(sorted(members, key=lambda j: (-size[j], drawn[j])), 1):
+            extra[j] = int(u + k * part) - int(u + (k - 1) * part)
+    return [(n, sources[s], target[s], (int(target[s] / sources[s]) if sources[s] else 0) + e) for n, (_, _, s), e in zip(size, docs, extra)]

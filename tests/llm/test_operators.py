@@ -111,6 +111,14 @@ def test_shards_are_near_equal(spark, tables):
     assert sorted(map(tuple, got)) == sorted(map(tuple, shards.sharded(x, 8).collect()))
 
 
+@pytest.mark.parametrize("other", [0, 10_000])
+def test_shards_of_rows_that_ids_do_not_tell_apart(spark, tables, other):
+    docs = [(None, "same text of many rows", "en", "s", 0)] * (20_000 - other) + [(i, f"text {i}", "en", "s", 0) for i in range(other)]
+    got = shards.sharded(spark.read.parquet(tables(documents=docs) + "/documents.parquet")).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).collect()
+    sizes = [r["sum(size)"] for r in got]
+    assert len(got) == 40 and max(sizes) * 40 < 1.1 * sum(sizes) and all(r["max(slot)"] == r["count(1)"] - 1 for r in got)
+
+
 def test_ranges():
     cuts = [-(1 << 62), -5, 0, 7, 7 + (1 << 40), (1 << 63) - 1]
     from pyspark.sql import SparkSession
@@ -190,6 +198,33 @@ def test_battery_finds_values_behind_names_and_prefixes(spark, tables):
     assert [texts[i] for i in range(len(found), len(texts)) if got[i]] == []
 
 
+def test_battery_on_single_runs(spark):
+    rng = random.Random(12)
+    made = []
+    for pattern, alphabet, least in secrets.ENCODINGS:
+        for n in (least, least + 7, 64, 300):
+            made += [(alphabet, "".join(rng.choices(alphabet, k=n))) for _ in range(5)]
+            made += [(alphabet, "".join(rng.choices(alphabet[: len(alphabet) // 3], k=n))), (alphabet, alphabet[0] * n)]
+    made += [(secrets.DIGITS + secrets.UPPER + secrets.LOWER, "SomeCamelCaseIdentifierNumber42")]
+    x = spark.createDataFrame([(t,) for _, t in made], "text string")
+    got = {r.text: r.t.bin for r in x.select("text", secrets.tested(x.text).alias("t")).collect()}
+    alphabets = {t: next((a for p, a, n in secrets.ENCODINGS if brute.re.search(p, t) and len(t) >= n), None) for _, t in made}
+    want = {t: None if a is None else max(0, min(secrets.BINS - 1, int(-4 * np.log10(max(1e-300, brute.randomness(t, a)))))) for t, a in alphabets.items()}
+    assert got == want and sum(b is not None for b in want.values()) > 150
+
+
+def test_false_reports_are_controlled():
+    """Random runs spread evenly over p; others lie anywhere below 0.1, most of them where no step-up would clear them."""
+    rng = np.random.default_rng(13)
+    for randoms, others, high in ((2000, 0, 0.1), (2000, 600, 0.1), (500, 3000, 0.03), (0, 1000, 0.09), (5000, 50, 0.01)):
+        p = np.r_[rng.random(randoms), rng.random(others) * high]
+        bins = np.minimum(secrets.BINS - 1, np.floor(-4 * np.log10(p))).astype(int)
+        cut = secrets.limit(np.bincount(bins, minlength=secrets.BINS).tolist())
+        told = bins < cut
+        assert told[randoms:].sum() <= 0.1 * max(1, told.sum()) and told[:randoms].sum() >= 0.88 * randoms
+    assert secrets.limit([0] * secrets.BINS) >= secrets.SURE
+
+
 def test_untested_runs_do_not_count(spark):
     """cleared() against a plain step-up over the runs that an encoding fits, among many that none fits."""
     rng = random.Random(9)
@@ -265,6 +300,19 @@ def test_mixing(spark, tables, docs, sample):
     assert mix.columns == x.columns and mix.count() == sum(c for *_, c in made)
 
 
+def test_mixing_comes_near_targets(spark):
+    """What a source takes differs from its target by less than its largest document."""
+    for sf in ("sf0.001", "sf0.01"):
+        got = mixing.copies(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).selectExpr("source", "size", "target", "size * copies taken", "copies", "rate").collect()
+        by = {}
+        for r in got:
+            assert r.copies in (int(r.rate), int(r.rate) + 1) and r.copies <= 3
+            t = by.setdefault(r.source, [0, r.target, 0])
+            t[0], t[2] = t[0] + r.taken, max(t[2], r.size)
+        assert all(abs(taken - target) <= most for taken, target, most in by.values())
+        assert abs(sum(t[0] for t in by.values()) - sum(r.size for r in got)) <= sum(t[2] for t in by.values()) ** 0.5 * max(t[2] for t in by.values()) ** 0.5
+
+
 def test_mixing_many_sources(spark, tables):
     docs = [(i, "a b c " * (1 + i % 3), "en", f"s{i % 1500 if i % 2 else 0}", 0) for i in range(6000)]
     got = queries.QUERIES["op6_mixing"](spark, tables(documents=docs)).collect()
@@ -345,6 +393,61 @@ def test_jaccard_at_the_threshold(spark, tables):
     assert got[1] == 0 and got[11] == 11  # 85 of 100 shingles, and 84
 
 
+def test_jaccard_many_rows_without_ids(spark, tables):
+    docs = [(None, f"a{i} b{i} c{i} d{i // 3} e{i // 3}" if i % 2 else "the same text in many rows", "", "", 0) for i in range(10_000)]
+    d = tables(documents=docs)
+    got = queries.QUERIES["op8_jaccard"](spark, d)
+    assert rows(got, "n_shingles", "component_id") == sorted((2 if i % 2 else 3, None) for i in range(10_000))
+    left = jaccard.one_of_each(spark.read.parquet(d + "/documents.parquet"))
+    assert left.count() == 5001 and left.where("text like 'the%'").count() == 1
+
+
+def test_jaccard_of_large_groups(spark, tables, monkeypatch):
+    """Postings that are compared in blocks, in the levels of short and of long texts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 1 << 12)
+    rng = random.Random(14)
+    docs = []
+    for n, edits, copies in ((60, 3, 70), (60, 5, 40), (700, 20, 40), (24, 1, 60)):
+        base = [f"{n}w{rng.randrange(10**6)}" for _ in range(n)]
+        for _ in range(copies):
+            t = list(base)
+            for _ in range(rng.randint(0, edits)):
+                t[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            docs.append(" ".join(t))
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(docs)]
+    got = {r.doc_id: r.component_id for r in queries.QUERIES["op8_jaccard"](spark, tables(documents=docs)).collect()}
+    want = brute.components([d[:2] for d in docs])
+    assert [got[i] for i in range(len(docs))] == want and 10 < len(set(want)) < 150
+
+
+def test_jaccard_of_shared_paragraphs(spark, tables):
+    """Documents of ten out of a hundred paragraphs: what is compared grows no faster than they do, and none links."""
+    listed = []
+    for n in (300, 600, 1200):
+        rng = random.Random(15)
+        paragraphs = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(30)) for _ in range(100)]
+        docs = [(i, "\n".join(rng.sample(paragraphs, 10)), "en", "s", 0) for i in range(n)]
+        x = spark.read.parquet(tables(documents=docs) + "/documents.parquet")
+        found = jaccard.postings(jaccard.entries(x, 4, 4, 85))
+        listed.append(found.count())
+        assert found.agg({"members": "max"}).first()[0] <= 0.05 * n
+    assert listed[2] <= 6 * listed[0] + 2000
+
+
+def test_hasher():
+    """Words and shingles against one text at a time, whatever the texts are read with."""
+    import pyarrow as pa
+
+    h = jaccard.Hasher()
+    texts = ["", None, "one", "ONE", "one two", " a  b\tc\x0bd\re\nf ", "é É ı", "x" * 600_000 + " y z w", "w " * 400_000, "one two three four five", "a", "b c"] * 2
+    sets = list(h.sets(pa.array(texts), 4))
+    alone = [next(jaccard.Hasher().sets(pa.array([t], pa.string()), 4)) for t in texts]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(sets, alone))
+    assert [len(s) for s in sets] == [len(brute.shingles(t)) for t in texts]
+    assert (sets[2] == sets[3]).all() and list(h.sets(pa.array(texts)[3:5], 4))[0] == sets[3] and list(h.sets(pa.array([], pa.string()), 4)) == []
+
+
 def test_jaccard_null_ids(spark, tables):
     got = queries.QUERIES["op8_jaccard"](spark, tables(documents=[(None, "a b c d", "", "", 0), (7, "A b c d", "", "", 0), (None, "e f g h", "", "", 0), (None, None, "", "", 0)]))
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted([(None, 1, 7), (7, 1, 7), (None, 1, None), (None, 0, None)], key=repr)
@@ -363,7 +466,11 @@ def test_one_of_each(spark, tables, docs):
     assert (5, "t u v w") in left and (5, "p Q r s") in left
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [0, 60, 1 << 20])
+def test_components(spark, monkeypatch, limit):
+    from quern.llm import components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", limit)
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(40)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)]
     name = {i: hashlib.md5(str(i).encode()).digest() for i in range(300)}
@@ -435,6 +542,69 @@ def test_html_rules(page, text):
     assert html.Tree(page or "").text(frozenset(), frozenset()) == text
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<p>1 > 0 " + "<a " * 350_000, "<li>" * 60_000, "<center>" * 40_000 + "</p>" * 40_000, "<svg>" * 60_000, "<div>" * 40_000 + "</section>" * 40_000, "<!-- " * 200_000, "<a '>" * 200_000, "<p><b" * 200_000])
+def test_html_malformed_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    t = html.Tree(page)
+    t.features()
+    t.text(frozenset(), frozenset())
+    assert time.process_time() - began < 4
+
+
+def test_html_unclosed():
+    assert html.Tree("<p>x <!-- a > b").text(frozenset()) == "x" and html.Tree("<p>x</p><!-- a").text(frozenset()) == "x"
+    assert html.Tree("<p>a <svg> b > c").text(frozenset()) == "a b > c"
+
+
+def test_html_the_tree_decides(spark):
+    """Without the sites' trees what is not an element of its own kind stays in; with them each page is its article."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    with_tree = {r.page_id: r.text for r in html.extracted(pages).collect()}
+    changed = same = 0
+    for r in pages.collect():
+        alone = html.Tree(r.html or "")
+        changed += alone.text(frozenset()) != with_tree[r.page_id]
+        same += alone.text(frozenset(), frozenset()) == with_tree[r.page_id]
+    assert changed == 0 or same >= 0.99 * len(with_tree)
+    print(changed, same, len(with_tree))
+
+
+def test_html_importance(spark):
+    """The tree against a plain one: entropies of what the pages of a host say, a node at a time."""
+    from math import log
+
+    rng = random.Random(16)
+    say = lambda k: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(k))
+    few = [say(4) for _ in range(6)]
+    pages = []
+    for h, m in (("a.example", 40), ("b.example", 6), ("c.example", 1)):
+        pages += [(h, i, f"<div class=ad><p>{rng.choice(few)}</p></div><div id=m>{say(20)}<p>{say(9)}</p></div><div id=t>{few[0]}</div><ul><li>{rng.choice(few[:2])}</ul>") for i in range(m)]
+    got = {(r.page): set(r.weak) for r in html.style_tree(spark.createDataFrame(pages, "host string, page long, html string").selectExpr("host", "xxhash64(host, page) page", "html")).collect()}
+    key = {(r.host, r.page): r.k for r in spark.createDataFrame(pages, "host string, page long, html string").selectExpr("host", "page", "xxhash64(host, page) k").collect()}
+    for host in ("a.example", "b.example", "c.example"):
+        trees = {i: {f[0]: f for f in html.Tree(t).features()} for h, i, t in pages if h == host}
+        nodes = {}
+        for t in trees.values():
+            for k, f in t.items():
+                nodes.setdefault(k, []).append(f)
+
+        def entropy(values):
+            m = len(values)
+            return 1.0 if m == 1 else max(0.0, -sum(n / m * log(n / m) for n in brute.Counter(values).values()) / log(m))
+
+        told = {}
+        for k, fs in nodes.items():
+            w = html.DECAY ** max(f[1] for f in fs)
+            told[k] = (w * entropy([f[3] for f in fs]) + (1 - w) * entropy([f[2] for f in fs]), len(fs), sum(f[4] for f in fs), fs[0][5], fs[0][6])
+        post = lambda i, m, prior: (m * i + html.PRIOR * prior) / (m + html.PRIOR)
+        usual = sum(post(i, m, 1) * c for i, m, c, *_ in told.values()) / sum(c for _, _, c, *_ in told.values())
+        weak = {k for k, (i, m, _, named, inner) in told.items() if post(i, m, 0 if named else 1) < usual * (html.SAID if named else html.INNER if inner else html.LEAST)}
+        for i, t in trees.items():
+            assert got[key[host, i]] == weak & set(t), host
+
+
 ARTICLE = "<article><h1>T</h1><p>long text of it</p></article>"
 
 
