@@ -46,10 +46,11 @@ def fetch_rows(rows: DataFrame, resolve: Callable[[DataFrame], DataFrame], key:
     return wanted.join(live, F.col(KEY) == F.col(f"`{key}`"), "left")
 
 
-def fetch(spark: SparkSession, rows: DataFrame, resolve, schema: TableSchema, keys: Sequence[str] | DataFrame, columns: Sequence[str], *, with_key: bool = False, with_found: bool = False) -> DataFrame:
+def fetch(spark: SparkSession, rows: DataFrame, resolve, schema: TableSchema, keys: Sequence[str] | DataFrame, columns: Sequence[str], *, with_key: bool = False, with_found: bool = False, ordered: bool = True) -> DataFrame:
     """The requested columns, in the requested order (repeats allowed), a row for each key in order; nulls for a miss.
 
     ``keys``: a list, or a DataFrame with columns ord (any order) and key.  ``with_key``, ``with_found``: further columns.
+    ``ordered``: without it, rows come as they are found, which spares a sort of the whole result (ord tells their order).
     """
     check_columns(schema, columns)
     if isinstance(keys, DataFrame):
@@ -60,7 +61,8 @@ def fetch(spark: SparkSession, rows: DataFrame, resolve, schema: TableSchema, ke
                 raise SegmentError(f"{k!r} is no key")
         wanted, literals = keys_frame(spark, keys), list(keys) if len(keys) <= LITERALS else None
     used = list(dict.fromkeys(columns))
-    out = fetch_rows(rows, resolve, schema.key, wanted, literals).orderBy(ORD)
+    out = fetch_rows(rows, resolve, schema.key, wanted, literals)
+    out = out.orderBy(ORD) if ordered else out
     picked = [F.col(ORD).alias("ord")] if isinstance(keys, DataFrame) else []
     picked += [F.col(KEY).alias(schema.key)] if with_key else []
     picked += [F.col(f"`{schema.key}`").isNotNull().alias("_found")] if with_found else []

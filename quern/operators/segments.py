@@ -43,11 +43,12 @@ def scan(spark: SparkSession, catalog: Catalog, name: str, entry: Entry) -> Data
 
 
 def _write(df: DataFrame, schema: TableSchema, path: str, tasks: int | None) -> None:
-    """Sorted by key, with a Bloom filter on it, so that lookups skip files, row groups and pages."""
+    """Files of disjoint key ranges, sorted by key, with Bloom filters as large as their keys need, so that lookups skip
+    files, row groups and pages.  Without ``tasks`` the runtime joins ranges to files of its advisory size."""
     key = F.col(f"`{schema.key}`")
-    df = df.repartitionByRange(tasks, key) if tasks else df
+    df = df.repartitionByRange(tasks, key) if tasks else df.repartitionByRange(key)
     writer = df.sortWithinPartitions(key, SOURCE, POSITION).write
-    writer.option("parquet.bloom.filter.enabled#" + schema.key, "true").option("parquet.bloom.filter.expected.ndv#" + schema.key, "1000000").parquet(path)
+    writer.option("parquet.bloom.filter.enabled#" + schema.key, "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
 
 
 def _violations(schema: TableSchema) -> dict:
@@ -63,9 +64,15 @@ def _violations(schema: TableSchema) -> dict:
     return out
 
 
-def append(spark: SparkSession, catalog: Catalog, name: str, batch: DataFrame, *, tasks: int | None = None) -> int:
-    """Writes ``batch`` (see ingest) as the newest segment and returns its number.  One pass: checks ride on the write."""
+def append(spark: SparkSession, catalog: Catalog, name: str, batch: DataFrame, *, tasks: int | None = None, fence: tuple[str, int] | None = None) -> int | None:
+    """Writes ``batch`` (see ingest) as the newest segment and returns its number.  Checks ride on the write.
+
+    ``fence``: a stream and the number of its batch; one that is in the table already is not written again (None).
+    """
     entry = catalog.entry(name)
+    known = lambda e: fence is not None and e.streams.get(fence[0], -1) >= fence[1]
+    if known(entry):
+        return None
     names = list(entry.schema.columns)
     staging = f"{name}/.staging-{uuid.uuid4().hex}"
     seen = Observation()
@@ -76,18 +83,18 @@ def append(spark: SparkSession, catalog: Catalog, name: str, batch: DataFrame, *
             catalog.files.delete(staging)
             kind, i = what.split(":")
             raise SegmentError(f"column {names[int(i)]!r} has {n} {'nulls' if kind == 'null' else 'values out of range'}")
-    return commit(catalog, name, staging, lambda e, n: e.segments.append(n))
-
-
-def commit(catalog: Catalog, name: str, staging: str, change) -> int:
     with catalog.change() as tables:
-        if name not in tables:
+        if name not in tables or known(tables[name]):
             catalog.files.delete(staging)
-            raise TableNotFound(f"no table {name!r}")
+            if name not in tables:
+                raise TableNotFound(f"no table {name!r}")
+            return None
         entry = tables[name]
         n, entry.next = entry.next, entry.next + 2
         _settle(catalog, name, staging, n)
-        change(entry, n)
+        entry.segments.append(n)
+        if fence:
+            entry.streams[fence[0]] = fence[1]
     return n
 
 
@@ -98,28 +105,47 @@ def _settle(catalog: Catalog, name: str, staging: str, n: int) -> None:
         raise StorageError(f"{staging} can't become segment {n}")
 
 
-def compact(spark: SparkSession, catalog: Catalog, name: str, *, tasks: int | None = None) -> int | None:
-    """Rewrites the live segments as one with the latest rows only; None if there is at most one of them.
+def newest_tier(sizes: Sequence[int]) -> int:
+    """Where the newest segments begin that are worth merging: an older one joins if it is at most twice what joined.
+
+    So a row is rewritten about as often as the table's size can be doubled, not with each small write, and as many
+    segments stay.
+    """
+    start, total = len(sizes) - 1, sizes[-1] if sizes else 0
+    while start > 0 and sizes[start - 1] <= 2 * total:
+        start -= 1
+        total += sizes[start]
+    return max(start, 0)
+
+
+def compact(spark: SparkSession, catalog: Catalog, name: str, *, tasks: int | None = None, tiered: bool = False) -> int | None:
+    """Rewrites the live segments (``tiered``: the newest of like sizes) as one with the latest rows only; None if that
+    is one segment at most.
 
     Segments that were written meanwhile stay, above the new one.  Old folders stay for readers that still use them,
     until vacuum().
     """
     entry = catalog.entry(name)
-    old = list(entry.segments)
+    start = newest_tier([catalog.files.size(f"{name}/{SEQUENCE}={n}") for n in entry.segments]) if tiered else 0
+    old = entry.segments[start:]
     if len(old) < 2:
         return None
-    rows = latest(scan(spark, catalog, name, entry), entry.schema.key).drop(SEQUENCE)
+    rows = latest(scan(spark, catalog, name, Entry(entry.schema, old)), entry.schema.key).drop(SEQUENCE)
     staging = f"{name}/.staging-{uuid.uuid4().hex}"
     _write(rows, entry.schema, catalog.files.path(staging), tasks)
     with catalog.change() as tables:
         now = tables.get(name)
-        if now is None or now.segments[: len(old)] != old:
+        start = now.segments.index(old[0]) if now is not None and old[0] in now.segments else 0
+        later = now.segments[start + len(old) :] if now is not None else []
+        if now is None or now.segments[start : start + len(old)] != old or (later and old[-1] % 2):
             catalog.files.delete(staging)
             raise StorageError(f"segments of {name!r} changed under its compaction")
-        later = now.segments[len(old) :]
-        n = old[-1] + 1  # writes have even numbers, so this one is free, above what it replaces and below what is later
+        if old[-1] % 2:  # a compacted segment is the newest: a number like that of a write
+            n, now.next = now.next, now.next + 2
+        else:  # writes have even numbers, so this one is free, above what it replaces and below what is later
+            n = old[-1] + 1
         _settle(catalog, name, staging, n)
-        now.segments = [n, *later]
+        now.segments = [*now.segments[:start], n, *later]
     return n
 
 

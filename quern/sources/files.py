@@ -65,5 +65,9 @@ class Files:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
+    def size(self, name: str) -> int:
+        """Bytes of a file or of all that is in a folder."""
+        return self._fs.getContentSummary(self._path(name)).getLength()
+
     def names(self, name: str) -> list[str]:
         return [s.getPath().getName() for s in self._fs.listStatus(self._path(name))] if self.exists(name) else []
