@@ -29,28 +29,69 @@ DType = StrEnum("DType", {name.upper(): name for name in DTYPES})
 
 @dataclass(frozen=True)
 class Config:
-    """``root``: a folder on any file system Spark reads.  ``compact_at``: segments at which a write compacts (0: never)."""
+    """``root``: a folder on any file system Spark reads.  ``compact_at``: segments from which a write compacts (0: never).
+
+    ``backend``: "disk" reads segments, "memory" also keeps the latest rows of each table on the executors.
+    """
 
     root: str
+    backend: str = "disk"
     compact_at: int = 32
     write_tasks: int | None = None
+    http_host: str = "127.0.0.1"
     http_port: int = 8080
+    grpc_host: str = "127.0.0.1"
     grpc_port: int = 8081
     body_limit: int = 1 << 30
 
     @classmethod
-    def load(cls, values: dict | None = None, env: dict | None = None) -> Config:
-        """From a mapping, each value overridden by QUERN_<NAME> in the environment."""
+    def load(cls, values: dict | str | None = None, env: dict | None = None) -> Config:
+        """From a mapping or a TOML or JSON file, each value overridden by QUERN_<NAME> in the environment."""
+        if isinstance(values, str):
+            values = cls._file(values)
         values, env = dict(values or {}), os.environ if env is None else env
         for name in cls.__dataclass_fields__:
             if (v := env.get(f"QUERN_{name.upper()}")) is not None:
                 values[name] = v
         try:
-            for name in set(values) - {"root"}:
+            for name in set(values) - TEXTS:
                 values[name] = None if values[name] is None else int(values[name])
-            return cls(**values)
+            out = cls(**values)
         except (TypeError, ValueError) as e:
             raise ConfigError(str(e)) from e
+        if out.backend not in ("disk", "memory"):
+            raise ConfigError(f"there is no backend {out.backend!r}")
+        return out
+
+    @staticmethod
+    def _file(path: str) -> dict:
+        import json
+        import tomllib
+
+        try:
+            with open(path, "rb") as f:
+                return json.load(f) if path.endswith(".json") else tomllib.load(f)
+        except (OSError, ValueError) as e:
+            raise ConfigError(f"{path}: {e}") from e
+
+
+TEXTS = {"root", "backend", "http_host", "grpc_host"}
+
+
+def default_root(parents: Sequence[str] | None = None, name: str = "quern-store") -> str:
+    """The folder ``name`` in the first of ``parents`` that can be written to: here, where systems keep data, or the temporary one."""
+    tried = []
+    for parent in parents or (os.getcwd(), "/var/lib", "/data", tempfile.gettempdir()):
+        path = os.path.join(parent, name)
+        if os.path.isdir(parent) and os.access(parent, os.W_OK | os.X_OK):
+            try:
+                os.makedirs(path, exist_ok=True)
+            except OSError:
+                pass
+            if os.path.isdir(path) and os.access(path, os.W_OK | os.X_OK):
+                return f"file://{path}"
+        tried.append(parent)
+    raise ConfigError(f"no folder can be written to: {', '.join(tried)}")
 
 
 class Engine:
@@ -80,7 +121,7 @@ class Engine:
 
     # Writing
 
-    def write(self, name: str, batch: pa.Table | pa.RecordBatch | DataFrame, *, position=None, large_strings: bool = False) -> None:
+    def write(self, name: str, batch: pa.Table | pa.RecordBatch | DataFrame, *, position=None, large_strings: bool = False, fence: tuple[str, int] | None = None) -> None:
         """Upserts whole rows: the last row of a key wins, within a batch and over batches.  An empty batch is no write."""
         schema = self.get_schema(name)
         if isinstance(batch, pa.RecordBatch):
@@ -91,7 +132,7 @@ class Engine:
                 return
         else:
             df = ingest.from_frame(batch, schema, position)
-        self._append(name, df)
+        self._append(name, df, fence)
 
     def write_json(self, name: str, body: bytes | str | dict) -> None:
         self.write(name, ingest.json_table(body, self.get_schema(name)))
@@ -116,16 +157,21 @@ class Engine:
         else:
             self.write_json(name, body)
 
-    def _append(self, name: str, df: DataFrame) -> None:
-        segments.append(self.spark, self.catalog, name, df, tasks=self.config.write_tasks)
+    def _append(self, name: str, df: DataFrame, fence: tuple[str, int] | None = None) -> None:
+        segments.append(self.spark, self.catalog, name, df, tasks=self.config.write_tasks, fence=fence)
         if self.config.compact_at and len(self.catalog.entry(name).segments) >= self.config.compact_at:
-            self.compact(name)
+            segments.compact(self.spark, self.catalog, name, tasks=self.config.write_tasks, tiered=True)
+        if self.config.backend == "memory":
+            self.pin(name)
 
     # Reading
 
     def _rows(self, name: str) -> tuple[TableSchema, DataFrame, object]:
         entry = self.catalog.entry(name)
         kept = self._pinned.get(name)
+        if self.config.backend == "memory" and not (kept and kept[0] == entry.segments):
+            self.pin(name)
+            kept = self._pinned[name]
         if kept and kept[0] == entry.segments:
             return entry.schema, kept[1], lambda cut: cut
         return entry.schema, segments.scan(self.spark, self.catalog, name, entry), lambda cut: segments.latest(cut, entry.schema.key)
@@ -158,7 +204,8 @@ class Engine:
         """Keeps the table's latest rows in memory and on disk of the executors, until it is written again."""
         entry = self.catalog.entry(name)
         self.unpin(name)
-        self._pinned[name] = (list(entry.segments), self.scan(name).persist())
+        rows = segments.latest(segments.scan(self.spark, self.catalog, name, entry), entry.schema.key)
+        self._pinned[name] = (list(entry.segments), rows.select(*(F.col(f"`{c}`") for c in entry.schema.columns)).persist())
 
     def unpin(self, name: str) -> None:
         if (old := self._pinned.pop(name, None)) is not None:

@@ -12,7 +12,9 @@ from quern.functions.dtypes import DTYPES
 from quern.functions.schema import TableSchema
 from quern.sources.ingest import ARROW_MIME, JSON_MIME, PARQUET_MIME
 
-ROUTE = re.compile(r"/tables/([^/]+)(?:/(schema|fetch|rows))?")
+#: The paths that clients of such stores call, and shorter ones.
+ROUTE = re.compile(r"/(?:api/v1/table|tables)/([^/]+)(?:/(schema|fetch|rows|write))?")
+LISTS = ("/api/v1/table", "/tables")
 
 
 def openapi() -> dict:
@@ -23,19 +25,15 @@ def openapi() -> dict:
     wanted = {"type": "object", "required": ["keys", "columns"], "properties": {n: {"type": "array", "items": {"type": "string"}} for n in ("keys", "columns")}}
     body = lambda kinds, s: {"required": True, "content": {k: {"schema": s if k == JSON_MIME else {"type": "string", "format": "binary"}} for k in kinds}}
     done = lambda text: {"description": text}
-    return {
-        "openapi": "3.0.3",
-        "info": {"title": "Keyed tables", "version": "1"},
-        "paths": {
-            "/health": {"get": {"responses": {"200": done("alive")}}},
-            "/openapi.json": {"get": {"responses": {"200": done("this document")}}},
-            "/tables": {"get": {"responses": {"200": done("all tables and their schemas")}}},
-            "/tables/{table}": {"post": {"requestBody": body([JSON_MIME], schema), "responses": {"201": done("created"), "400": done("no schema"), "409": done("there already")}}},
-            "/tables/{table}/schema": {"get": {"responses": {"200": done("its schema"), "404": done("no such table")}}},
-            "/tables/{table}/rows": {"put": {"requestBody": body([JSON_MIME, ARROW_MIME, PARQUET_MIME], values), "responses": {"200": done("written"), "400": done("rows that do not fit")}}},
-            "/tables/{table}/fetch": {"post": {"requestBody": body([JSON_MIME], wanted), "responses": {"200": done("a row for each key, as JSON or Arrow")}}},
-        },
-    }
+    listed = {"get": {"responses": {"200": done("all tables and their schemas")}}}
+    create = {"requestBody": body([JSON_MIME], schema), "responses": {"201": done("created"), "400": done("no schema"), "409": done("there already")}}
+    write = {"put": {"requestBody": body([JSON_MIME, ARROW_MIME, PARQUET_MIME], values), "responses": {"200": done("written"), "400": done("rows that do not fit")}}}
+    read = {"post": {"requestBody": body([JSON_MIME], wanted), "responses": {"200": done("a row for each key, as JSON or Arrow")}}}
+    its = {"get": {"responses": {"200": done("its schema"), "404": done("no such table")}}}
+    paths = {"/health": {"get": {"responses": {"200": done("alive")}}}, "/openapi.json": {"get": {"responses": {"200": done("this document")}}}}
+    for base, name, method, rows in (("/api/v1/table", "{name}", "put", "write"), ("/tables", "{table}", "post", "rows")):
+        paths |= {base: listed, f"{base}/{name}": {method: create}, f"{base}/{name}/schema": its, f"{base}/{name}/{rows}": write, f"{base}/{name}/fetch": read}
+    return {"openapi": "3.1.0", "info": {"title": "Keyed tables", "version": "1"}, "paths": paths}
 
 
 def handle(engine: Engine, method: str, path: str, headers: dict[str, str], body: bytes) -> tuple[int, str, bytes]:
@@ -60,14 +58,14 @@ def _asked(body: bytes) -> tuple[list[str], list[str]]:
 def _routed(engine: Engine, method: str, path: str, headers: dict[str, str], body: bytes) -> tuple[int, str, bytes]:
     as_json = lambda value, status=200: (status, JSON_MIME, json.dumps(value).encode())
     if (method, path) == ("GET", "/health"):
-        return 200, "text/plain", b"ok"
+        return 200, "text/plain", b"OK"
     if (method, path) == ("GET", "/openapi.json"):
         return as_json(openapi())
-    if (method, path) == ("GET", "/tables"):
+    if method == "GET" and path in LISTS:
         return as_json({n: s.to_json() for n, s in engine.list_tables().items()})
     if m := ROUTE.fullmatch(path):
         name, what = m.groups()
-        if (method, what) == ("POST", None):
+        if method in ("POST", "PUT") and what is None:
             try:
                 value = json.loads(body)
             except ValueError as e:
@@ -76,7 +74,7 @@ def _routed(engine: Engine, method: str, path: str, headers: dict[str, str], bod
             return as_json({}, 201)
         if (method, what) == ("GET", "schema"):
             return as_json(engine.get_schema(name).to_json())
-        if (method, what) == ("PUT", "rows"):
+        if method == "PUT" and what in ("rows", "write"):
             if len(body) > engine.config.body_limit:
                 return as_json({"error": "the body is too large"}, 413)
             engine.write_body(name, headers.get("content-type"), body)
@@ -86,7 +84,7 @@ def _routed(engine: Engine, method: str, path: str, headers: dict[str, str], bod
     return as_json({"error": f"no route {method} {path}"}, 404)
 
 
-def http_server(engine: Engine, host: str = "127.0.0.1", port: int | None = None) -> ThreadingHTTPServer:
+def http_server(engine: Engine, host: str | None = None, port: int | None = None) -> ThreadingHTTPServer:
     """A server for the routes of handle(); call serve_forever()."""
 
     class Handler(BaseHTTPRequestHandler):
@@ -110,7 +108,7 @@ def http_server(engine: Engine, host: str = "127.0.0.1", port: int | None = None
         def log_message(self, *_):
             pass
 
-    return ThreadingHTTPServer((host, engine.config.http_port if port is None else port), Handler)
+    return ThreadingHTTPServer((host or engine.config.http_host, engine.config.http_port if port is None else port), Handler)
 
 
 def flight_server(engine: Engine, location: str | None = None):
@@ -158,6 +156,6 @@ def flight_server(engine: Engine, location: str | None = None):
             for name, schema in engine.list_tables().items():
                 yield self._info(name, schema)
 
-    return Server(location or f"grpc://127.0.0.1:{engine.config.grpc_port}")
+    return Server(location or f"grpc://{engine.config.grpc_host}:{engine.config.grpc_port}")
 
 

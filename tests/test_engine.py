@@ -260,3 +260,169 @@ def test_config():
     for bad in ({}, {"root": "/x", "nope": 1}, {"root": "/x", "compact_at": "many"}):
         with pytest.raises(errors.ConfigError):
             Config.load(bad, {})
+
+
+def test_segments_are_files_of_disjoint_sorted_ranges(spark, tmp_path):
+    e = Engine(spark, Config(f"file://{tmp_path}/s", compact_at=0, write_tasks=6))
+    e.create_table("t", SCORES)
+    for k in range(2):
+        e.write("t", spark.range(30_000).selectExpr("cast(id as string) id", f"float(id + {k}) score", "'x' label"))
+
+    def ranges():
+        for folder in sorted(tmp_path.glob("s/t/__seq=*")):
+            found = sorted(pq.read_table(f)["id"].to_pylist() for f in folder.glob("*.parquet") if pq.read_metadata(f).num_rows)
+            yield folder.name, found
+
+    def check(found):
+        assert len(found) > 3 and all(k == sorted(k) for k in found) and all(a[-1] < b[0] for a, b in zip(found, found[1:]))
+
+    for _, found in ranges():
+        check(found)
+    e.compact("t")
+    check(list(ranges())[-1][1])
+    assert got(e, ["7", "29999", "30000"], ["score"]) == [[8.0, 30000.0, None]]
+
+
+def test_tiers():
+    assert segments.newest_tier([100, 10, 9, 8]) == 1 and segments.newest_tier([5, 5, 5]) == 0
+    assert segments.newest_tier([1000, 100, 10, 1]) == 3 and segments.newest_tier([7]) == 0 and segments.newest_tier([]) == 0
+
+
+def test_automatic_compaction_spares_large_segments(spark, tmp_path):
+    e = Engine(spark, Config(f"file://{tmp_path}/s", compact_at=3))
+    e.create_table("t", SCORES)
+    e.write("t", spark.range(50_000).selectExpr("cast(id as string) id", "float(id) score", "uuid() label"))
+    large = e.catalog.entry("t").segments[0]
+    for i in range(5):
+        e.write("t", rows(id=["a", "7"], score=[float(i), float(i)]))
+    now = e.catalog.entry("t").segments
+    assert now[0] == large and len(now) == 2 and got(e, ["a", "7", "8"], ["score"]) == [[4.0, 4.0, 8.0]]
+    e.compact("t")
+    e.write("t", rows(id=["a"], score=[9.0]))
+    assert len(set(e.catalog.entry("t").segments)) == 2 and got(e, ["a", "7", "8"], ["score"]) == [[9.0, 4.0, 8.0]]
+
+
+def test_lock_of_a_writer_that_is_gone(engine):
+    engine.catalog.files.create("manifest.lock", b"other 1000000000")
+    engine.create_table("u", SCORES)
+    with pytest.raises(errors.StorageError), engine.catalog.change() as tables:
+        tables.pop("u")
+        engine.catalog.files.replace("manifest.lock", b"another 1")
+    assert "u" in engine.list_tables() and engine.catalog.files.read("manifest.lock") == b"another 1"
+
+
+def test_replayed_batches_are_not_written_again(engine):
+    engine.write("t", rows(id=["a"], score=[1.0]), fence=("s", 0))
+    engine.write("t", rows(id=["a"], score=[2.0]))
+    engine.write("t", rows(id=["a"], score=[1.0]), fence=("s", 0))
+    assert got(engine, ["a"], ["score"]) == [[2.0]]
+    engine.write("t", rows(id=["a"], score=[3.0]), fence=("s", 1))
+    engine.write("t", rows(id=["b"], score=[4.0]), fence=("other", 0))
+    assert got(engine, ["a", "b"], ["score"]) == [[3.0, 4.0]] and len(engine.catalog.entry("t").segments) == 4
+
+
+def test_unordered(engine, spark):
+    engine.write("t", rows(id=["a"], score=[1.0]))
+    keys = spark.createDataFrame([(7, "a"), (3, None)], "ord long, key string")
+    out = engine.fetch("t", keys, ["score"], ordered=False)
+    assert sorted((r.ord, r.score) for r in out.collect()) == [(3, None), (7, 1.0)]
+    assert "Sort [__ord" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_memory_backend(spark, tmp_path):
+    e = Engine(spark, Config(f"file://{tmp_path}/s", backend="memory"))
+    e.create_table("t", SCORES)
+    assert got(e, ["a"], ["score"]) == [[None]]
+    for v in (1.0, 2.0):
+        e.write("t", rows(id=["a"], score=[v]))
+        assert got(e, ["a"], ["score"]) == [[v]]
+    assert "InMemoryTableScan" in e.fetch("t", ["a"], ["score"])._jdf.queryExecution().executedPlan().toString()
+    again = Engine(spark, e.config)
+    assert got(again, ["a", "b"], ["score"]) == [[2.0, None]]
+    e.unpin("t")
+    again.unpin("t")
+
+
+def test_http_paths_of_clients(engine):
+    call = lambda method, path, body=b"", **h: transport.handle(engine, method, path, h, body)
+    document = json.loads(call("GET", "/openapi.json")[2])
+    assert document["openapi"] == "3.1.0" and "/api/v1/table/{name}/fetch" in document["paths"] and call("GET", "/health")[2] == b"OK"
+    made = json.dumps(SCORES.to_json()).encode()
+    base = "/api/v1/table"
+    assert call("GET", f"{base}/h/schema")[0] == 404
+    assert call("PUT", f"{base}/h", made)[0] == 201 and call("PUT", f"{base}/h", made)[0] == 409
+    assert call("PUT", f"{base}/h/write", b'{"columns": {"id": ["a"], "score": [1.5], "label": [null]}}')[0] == 200
+    assert json.loads(call("POST", f"{base}/h/fetch", b'{"keys": ["a", "b"], "columns": ["score", "score"]}')[2]) == {"columns": {"score": [1.5, None]}}
+    assert json.loads(call("GET", base)[2])["h"] == json.loads(call("GET", f"{base}/h/schema")[2])
+
+
+def test_clients(engine):
+    import asyncio
+
+    from quern.client import AsyncClient, Client
+
+    server = transport.http_server(engine, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        c = Client(f"http://127.0.0.1:{server.server_port}")
+        c.create_table("c", SCORES)
+        c.write("c", rows(id=["a", "b"], score=[1.0, None], label=["x", None]))
+        assert c.read("c", ["b", "a", "q"], ["score", "label"]).to_pydict() == {"score": [None, 1.0, None], "label": [None, "x", None]}
+        assert c.get_schema("c") == SCORES == c.list_tables()["c"]
+        for kind, run in ((errors.TableNotFound, lambda: c.get_schema("no")), (errors.TableAlreadyExists, lambda: c.create_table("c", SCORES)), (errors.TableError, lambda: c.read("c", ["a"], ["no"]))):
+            with pytest.raises(kind):
+                run()
+
+        async def both():
+            a = AsyncClient(c.url)
+            return await asyncio.gather(a.read("c", ["a"], ["score"]), a.read("c", ["b"], ["label"]))
+
+        assert [t.to_pydict() for t in asyncio.run(both())] == [{"score": [1.0]}, {"label": [None]}]
+    finally:
+        server.shutdown()
+        server.server_close()
+    with pytest.raises(errors.StorageError):
+        c.list_tables()
+
+
+def test_config_files_and_roots(tmp_path):
+    from quern.__main__ import config
+    from quern.engine import default_root
+
+    (tmp_path / "c.toml").write_text('root = "/y"\nbackend = "memory"\nhttp_host = "0.0.0.0"\n')
+    (tmp_path / "c.json").write_text('{"root": "/z", "grpc_port": 1}')
+    (tmp_path / "bad.toml").write_text("root = ")
+    c = Config.load(str(tmp_path / "c.toml"), {"QUERN_HTTP_HOST": "::1"})
+    assert (c.root, c.backend, c.http_host) == ("/y", "memory", "::1") and Config.load(str(tmp_path / "c.json"), {}).grpc_port == 1
+    for bad in (str(tmp_path / "bad.toml"), str(tmp_path / "none.toml"), {"root": "/x", "backend": "tape"}):
+        with pytest.raises(errors.ConfigError):
+            Config.load(bad, {})
+    assert config(["--config", str(tmp_path / "c.json")], {"QUERN_GRPC_PORT": "2"}).grpc_port == 2
+    assert default_root([str(tmp_path / "no"), str(tmp_path)], "st") == f"file://{tmp_path}/st" and (tmp_path / "st").is_dir()
+    with pytest.raises(errors.ConfigError):
+        default_root([str(tmp_path / "no")])
+
+
+def test_entry_without_the_optional_package(tmp_path):
+    """The engine's queries stay when something that the optional package needs is missing."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[1]
+    hide = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", hide], cwd=repo, capture_output=True, text=True, check=True).stdout.split()
+    from quern.plans.queries import ORACLE_SQL, QUERIES
+
+    assert out == [str(len(QUERIES)), str(len(ORACLE_SQL)), "False"]
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quern.sources.scratch import scratch
+
+    none = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: none, master="spark://x:7077"), conf=none)
+    with pytest.raises(errors.ConfigError):
+        scratch(cluster, "x")
