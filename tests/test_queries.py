@@ -3,8 +3,11 @@ import os
 import duckdb
 import pytest
 
+from quern.plans import edges
 from quern.plans.queries import ORACLE_SQL, QUERIES, array_rows, numbered, with_orders
 
+QUERIES, ORACLE_SQL = QUERIES | edges.QUERIES, ORACLE_SQL | edges.ORACLE_SQL
+
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
