@@ -37,6 +37,8 @@ NAMES = (
 LAYOUT = "area bar block box buttons container content inner left list links outer right section slot top unit wrap wrapper".split()
 #: Whole class tokens that are a name, or end in one, but for those that deny or only mention it.
 NAMED = re.compile(rf"(?:^|\s)(?!(?:no|not|has|have|with|without|hide|show|is)[_-])(?:\S*[_-])?(?:{'|'.join(NAMES)})(?:[_-]+(?:{'|'.join(LAYOUT)}))*(?=$|\s)", re.I)
+#: Names of what readers write: no two pages agree in it, so no tree can tell it from an article.
+READERS = re.compile(r"(?:^|\s)(?:\S*[_-])?(?:comments?|disqus|replies|reply|respond)(?=$|[\s_-])", re.I)
 #: Names that count outside of article and main only, as a header element does.
 HEADED = re.compile(r"(?:^|\s)(?:(?:site|global|top)[_-]+)?(?:header|masthead)(?=$|\s)", re.I)
 #: The share of an article's text from which a branch of it does not go.
@@ -53,9 +55,10 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 #: A branch goes that has less than this share of the importance of its host's text: by what it says and how it is laid
-#: out alone, within a main element, and if its name is one of NAMES.
+#: out alone, within a main element, and if its prior is 0.
 LEAST, INNER, SAID = 0.6, 0.06, 0.9
-#: The prior counts as so many pages: on them a branch is of importance 1, or 0 if its name is one of NAMES.
+#: The prior counts as so many pages: on them a branch is of importance 1, or 0 if its name is one of NAMES or it is beside
+#: the main elements of its pages.
 PRIOR = 8
 #: Weight of what a branch says against how it is laid out, by the power of its height.
 DECAY = 0.9
@@ -68,17 +71,18 @@ class Tree:
 
     def __init__(self, html: str):
         self.parent, self.key, self.tag = [-1], [0], [""]
-        self.low, self.named, self.main, self.article = [False], [False], [False], [0]
+        self.low, self.named, self.readers, self.main, self.article = [False], [False], [False], [False], [0]
         self.links: list[list[str]] = [[]]
         self.blocks: list[tuple[int, str]] = []
         self._read(html)
 
-    def _open(self, tag: str, name: str, low: bool, named: bool, up: int) -> int:
+    def _open(self, tag: str, name: str, low: bool, named: bool, readers: bool, up: int) -> int:
         self.parent.append(up)
         self.tag.append(tag)
         self.key.append(xxh3_64_intdigest(f"{self.key[up]} {tag} {name}".encode()) >> 1)
         self.low.append(self.low[up] or low)
         self.named.append(named)
+        self.readers.append(readers)
         self.article.append(len(self.key) - 1 if tag == "article" else self.article[up])
         self.main.append(self.main[up] or tag in MAIN)
         self.links.append([])
@@ -159,7 +163,8 @@ class Tree:
             name, low, named, _ = self._attributes(rest, self.main[up]) if rest else ("", False, False, "")
             may = tag not in ("html", "body") and tag not in MAIN
             low = low and may or tag in DROPPED or (tag == "header" and not self.main[up])
-            node = self._open(tag, name, low, named and may, up)
+            readers = named and may and bool(READERS.search(name.replace("class=", " ").replace("id=", " ")))
+            node = self._open(tag, name, low, named and may, readers, up)
             if tag not in VOID:
                 stack.append((tag, node))
                 opened[tag] += 1
@@ -184,8 +189,10 @@ class Tree:
 
     def features(self) -> list[tuple]:
         """Of each style node that no rule drops: key, height, style (tags of the children), content (texts and links of the
-        branch), how many characters it holds itself, whether it is named, and whether it is in a main element."""
+        branch), how many characters it holds itself, whether its prior is 0 (it is named, or beside the main elements), and
+        whether it is in a main element."""
         n = len(self.key)
+        _, main = self._said()
         height, chars, child, said = [0] * n, [0] * n, [[] for _ in range(n)], [[] for _ in range(n)]
         for node, text in self.blocks:
             said[node].append(text)
@@ -199,7 +206,7 @@ class Tree:
         by_key: dict[int, list] = {}
         for i in range(1, n):
             if not self.low[i]:
-                known = by_key.setdefault(self.key[i], [0, [], [], 0, self.named[i], self.main[i]])
+                known = by_key.setdefault(self.key[i], [0, [], [], 0, self.named[i] or bool(main[0]) and not main[i], self.main[i]])
                 known[0] = max(known[0], height[i])
                 known[1] += [*reversed(child[i]), "/"]
                 known[2] += [*said[i], "/"]
@@ -207,34 +214,40 @@ class Tree:
         digest = lambda xs: xxh3_64_intdigest("\n".join(xs).encode()) >> 1
         return [(k, h, digest(style), digest(content), *more) for k, (h, style, content, *more) in by_key.items()]
 
+    def _said(self) -> tuple[list[int], list[int]]:
+        """Characters of each branch that no rule drops, and of the main elements in it."""
+        n = len(self.key)
+        said, main = [0] * n, [0] * n
+        for i, text in self.blocks:
+            if not self.low[i]:
+                said[i] += len(text)
+                main[i] += len(text) if self.main[i] else 0
+        for i in range(n - 1, 0, -1):
+            said[self.parent[i]] += said[i]
+            main[self.parent[i]] += main[i]
+        return said, main
+
     def text(self, weak: frozenset[int], stay: frozenset[int] | None = None) -> str:
-        """The blocks that neither a rule nor the tree of the site (``weak``: keys) removes; of the main elements only, if any
-        is left.  ``stay``: without a tree, branches with names go but for these keys.
+        """The blocks that neither a rule nor the tree of the site (``weak``: keys) removes.
 
-        What holds most of the page's main elements' text (of its text, where it has none) stays, and so does nearly all
-        of an article.  A page of which the tree would leave nothing is left to the rules.
+        ``stay``: without a tree, branches with names go but for these keys, and so does what is beside the main elements.
+        What readers write goes either way.  What holds most of the page's main elements' text (of its text, where it has
+        none) stays, and so does nearly all of an article.  A page of which the tree would leave nothing is left to the rules.
         """
         n = len(self.key)
-        may = [self.key[i] in weak or (stay is not None and self.named[i] and self.key[i] not in stay) for i in range(n)]
+        said, main = self._said()
         gone = [False] * n
-        if any(may):
-            said, main = [0] * n, [0] * n
-            for i, text in self.blocks:
-                if not self.low[i]:
-                    said[i] += len(text)
-                    main[i] += len(text) if self.main[i] else 0
-            for i in range(n - 1, 0, -1):
-                said[self.parent[i]] += said[i]
-                main[self.parent[i]] += main[i]
-            for i in range(1, n):
-                gone[i] = gone[self.parent[i]]
-                if may[i] and not gone[i]:
-                    a = self.article[self.parent[i]]
-                    most = said[i] >= WHOLE * said[a] if a else 2 * main[i] >= main[0] if main[0] else self.named[i] and 2 * said[i] >= said[0]
-                    gone[i] = not most or not said[i]
-        left = [(i, t) for i, t in self.blocks if not self.low[i] and not gone[i]] or [(i, t) for i, t in self.blocks if not self.low[i]]
-        main = [t for i, t in left if self.main[i]]
-        return "\n\n".join(main or [t for _, t in left])
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]]
+            if not gone[i] and (self.readers[i] or self.key[i] in weak or stay is not None and self.named[i] and self.key[i] not in stay):
+                a = self.article[self.parent[i]]
+                most = said[i] >= WHOLE * said[a] if a else 2 * main[i] >= main[0] if main[0] else self.named[i] and 2 * said[i] >= said[0]
+                gone[i] = not most or not said[i]
+        blocks = [(i, t) for i, t in self.blocks if not self.low[i]]
+        left = [(i, t) for i, t in blocks if not gone[i]] or blocks
+        if any(self.main[i] for i, _ in left):  # what stands between the main elements, or (without a tree) beside them, is no text
+            left = [(i, t) for i, t in left if self.main[i] or stay is None and not main[i]]
+        return "\n\n".join(t for _, t in left)
 
 
 def style_tree(pages: DataFrame, least: float = LEAST) -> DataFrame:
@@ -246,7 +259,7 @@ def style_tree(pages: DataFrame, least: float = LEAST) -> DataFrame:
     height h weighs content by DECAY ** h, presentation by the rest.  Every node is judged, on however few pages: a prior
     of PRIOR pages joins what the m pages say.  A node goes whose importance is less than ``least`` times that of the
     host's text (its nodes' importance, weighed by their characters); in proportion less within main elements, and more
-    if its class or id is a name of boilerplate.  What is found goes to the pages by node, nodes of many pages by
+    if its class or id is a name of boilerplate or it is beside the main elements.  What is found goes to the pages by node, nodes of many pages by
     broadcast: nothing is held by host.
     """
 
