@@ -530,6 +530,36 @@ def test_topk(spark, tables, big):
     assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(best_of(vectors), key=repr)
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.5])
+def test_topk_in_many_blocks(spark, tables, monkeypatch, spread):
+    """Ranges, blocks of one length, and blocks of queries with needs of their own, some of which drop out."""
+    for name, value in (("BLOCK", 64), ("QUERY_BLOCK", 6), ("LEAST", 8), ("FIRST", 8), ("STEP", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(1500, 12)) * np.exp(spread * rng.normal(size=(1500, 1)))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) if not spread else x).astype(np.float32)
+    x[700:800] = x[3]
+    vectors = [(int(i), [float(c) for c in v], 0) for i, v in enumerate(x)]
+    got = topk.op9_topk(spark, tables(embeddings=vectors))
+    assert rows(got, "query_id", "rank", "vec_id", "score") == sorted(best_of(vectors), key=repr)
+
+
+def test_topk_prunes():
+    """Of long and short vectors with a few strong directions, few products are computed in full; results stay exact."""
+    rng = np.random.default_rng(20)
+    x = np.floor(256 * rng.normal(size=(4000, 64)) * np.exp(-0.15 * np.arange(64)) * np.exp(0.7 * rng.normal(size=(4000, 1))))
+    q = x[::100]
+    turn = np.linalg.svd(x[:2048], full_matrices=True)[2].T
+    seen: dict = {}
+    ids = np.arange(4000)
+    i, v, s = topk.best(q, ids[::100], np.full(len(q), -np.inf), x, ids, 5, turn, seen)
+    want = q @ x.T
+    want[np.arange(len(q)), ids[::100]] = -np.inf
+    best = np.argsort(-want, axis=1, kind="stable")[:, :5]
+    assert (v.reshape(-1, 5) == best).all() and (s.reshape(-1, 5) == np.take_along_axis(want, best, 1)).all()
+    assert seen["full"] < 0.2 * len(q) * len(x) and seen["all"] < len(q) * len(x)
+
+
 # 10
 
 NAV = "<nav><ul><li><a href='/a'>Home</a></ul></nav>"
