@@ -18,6 +18,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 HEAVY_SHARE = 1000
 
 _OWN: dict[str, str] = {}
+#: Folders of staged tables, in the order in which they were made.
+_STAGED: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,7 +64,27 @@ def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None and (files := rows // FILE_ROWS + 1) < int(spark.conf.get("spark.sql.shuffle.partitions")):
         df = df.coalesce(files)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGED.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Staged tables that are made inside are removed on the way out, but for those that the list it gives has then.
+
+    What is kept must be staged itself: it does not depend on the others any more.
+    """
+    start, keep = len(_STAGED), []
+    try:
+        yield keep
+    finally:
+        kept = {df.staged_at for df in keep}
+        for path in _STAGED[start:]:
+            if path not in kept:
+                _remove(spark, path)
+        _STAGED[start:] = [p for p in _STAGED[start:] if p in kept]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,17 +100,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
 
 
-def skew_lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, salt: Column) -> DataFrame:
+def skew_lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int, salt: Column, hint: str | None = None) -> DataFrame:
     """Left join of ``left`` with ``right`` (one row a key; ``count``: rows of ``left`` with that key).
 
     Keys that hold a thousandth of ``total`` rows or more (a thousand keys at most, whatever the size of the data) are
     broadcast; the other keys meet in a shuffle in which no key is large.  Rows served by the broadcast are spread by
-    ``salt`` there.  Columns of ``right`` must not be columns of ``left``, but for ``key``.
+    ``salt`` there.  Columns of ``right`` must not be columns of ``left``, but for ``key``.  ``hint``: how the other keys
+    meet, where it should not depend on the size.
     """
     values = [c for c in right.columns if c != key]
     is_heavy = F.col(count) * HEAVY_SHARE >= F.lit(int(total))
     heavy = right.where(is_heavy).select(F.col(key).alias("_hk"), *(F.col(c).alias(f"_h_{c}") for c in values))
     light = right.where(~is_heavy).select(F.col(key).alias("_lk"), F.pmod(F.col(count), F.lit(1)).cast("long").alias("_ls"), *(F.col(c).alias(f"_l_{c}") for c in values))
+    light = light.hint(hint) if hint else light
     x = left.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
     x = x.withColumn("_s", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(salt).bitwiseOR(F.lit(1).cast("long"))))
     x = x.join(light, (F.col(key) == F.col("_lk")) & (F.col("_s") == F.col("_ls")), "left")

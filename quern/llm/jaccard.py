@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from quern.llm.common import only, packed, skew_lookup, staged, table, unpacked
+from quern.llm.common import only, packed, released, skew_lookup, staged, table, unpacked
 from quern.llm.components import components
 
 N, PERCENT = 4, 85
@@ -25,6 +25,10 @@ FRAGMENTS = 8
 #: Sets and n-grams of a block of a cluster, about.
 BLOCK, BLOCK_GRAMS = 256, 1 << 20
 
+#: Where sets meet: whether the cluster is of one block, its number, and two of its blocks.
+CELL = pa.struct([("small", pa.bool_()), ("pack", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
+CELLS = "array<struct<small:boolean,pack:bigint,i:int,j:int>>"
+
 GOLDEN, PRIME, MIX, LAST = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 LONG = "long"
 
@@ -261,30 +265,33 @@ def postings(packs: DataFrame) -> DataFrame:
 
 
 def parts_of(docs: DataFrame, reps: DataFrame, rows: int, n: int = N) -> DataFrame:
-    """class, fragment, n, grams: the sets of the classes in ``reps`` (class, k, alike: rows of that k), cut by the global order."""
+    """class, cells, fragment, n, grams: the sets of the classes in ``reps`` (class, k, alike: rows of that k; cells), cut by
+    the global order.
+
+    Every size of data runs the same join.  Only texts of rows that are alike can come twice, and only they are told apart.
+    """
+    kinds = (pa.int64(), pa.bool_(), pa.list_(CELL), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+    names = ["class", "again", "cells", "fragment", "n", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-
-        def batch(made: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=["class", "fragment", "n", "grams"])
-
         for b in batches:
             made, size = [], 0
-            for c, s in zip(b.column(1).to_pylist(), hasher.sets(b.column(0), n), strict=True):
+            for c, again, to, s in zip(*(x.to_pylist() for x in b.columns[1:]), hasher.sets(b.column(0), n), strict=True):
                 cut = np.searchsorted((s >> np.uint64(32)) * np.uint64(FRAGMENTS) >> np.uint64(32), np.arange(FRAGMENTS + 1))
-                made += [(c, f, len(s), s[x:y].view(np.int64)) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                made += [(c, again, to, f, len(s), s[x:y].view(np.int64)) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
                 size += len(s)
                 if size >= BATCH_GRAMS // 2:
-                    yield batch(made)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
                     made, size = [], 0
             if made:
-                yield batch(made)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
-    x = skew_lookup(with_key(docs).select("k", "text"), reps.withColumnRenamed("class", "c"), "k", "alike", rows, F.length("text"))
-    x = x.where("c is not null").select("text", F.col("c").alias("class")).mapInArrow(run, "class long, fragment int, n long, grams array<long>")
-    return x.dropDuplicates(["class", "fragment"])
+    x = skew_lookup(with_key(docs).select("k", "text"), reps.withColumnRenamed("class", "c"), "k", "alike", rows, F.length("text"), hint="merge")
+    x = x.where("c is not null").select("text", F.col("c").alias("class"), F.col("again"), "cells")
+    x = staged(x.mapInArrow(run, f"class long, again boolean, cells {CELLS}, fragment int, n long, grams array<long>"), "parts")
+    several = x.where("again").dropDuplicates(["class", "fragment"])
+    return x.where("not again").unionByName(several).drop("again")
 
 
 def placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -307,20 +314,26 @@ def block_of(name: str) -> Column:
     return F.pmod(F.xxhash64(name), F.col("blocks")).cast("int")
 
 
-def links(pairs: DataFrame, places: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def meetings(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """``pairs`` with the cell in which the two sets meet: one for each two blocks of a cluster that have pairs."""
+    x = pairs.join(places.withColumnRenamed("class", "a"), "a")
+    x = x.withColumn("i", F.least(block_of("a"), block_of("b"))).withColumn("j", F.greatest(block_of("a"), block_of("b")))
+    return staged(x.select("a", "b", F.struct((F.col("blocks") == 1).alias("small"), "pack", "i", "j").alias("cell")), "placed-pairs")
+
+
+def cells_of(met: DataFrame) -> DataFrame:
+    """class, cells of the sets in meetings()."""
+    x = met.select("cell", F.col("a").alias("class")).unionByName(met.select("cell", F.col("b").alias("class")))
+    return x.groupBy("class").agg(F.collect_set("cell").alias("cells"))
+
+
+def links(met: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: overlaps are counted in each fragment of the order by itself and summed per pair.
 
-    The sets of two blocks of a cluster that have pairs meet in one group for each fragment.
+    The sets of a cell meet in one group for each fragment.
     """
-    x = pairs.join(places.withColumnRenamed("class", "a"), "a")
-    x = x.withColumn("i", F.least(block_of("a"), block_of("b"))).withColumn("j", F.greatest(block_of("a"), block_of("b")))
-    x = staged(x.select("a", "b", "pack", "blocks", "i", "j"), "placed-pairs")
-    # equal pack numbers of small clusters and of large ones are told apart by ``small``
-    cell = ["small", "pack", "i", "j"]
-    x = x.withColumn("small", F.col("blocks") == 1)
-    uses = x.select(*cell, F.col("a").alias("class")).unionByName(x.select(*cell, F.col("b").alias("class"))).distinct()
-    sets = uses.join(parts, "class")
-    listed = x.select(*(F.col(c).alias(c) for c in cell), "a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    sets = parts.select("class", "fragment", "n", "grams", F.explode("cells").alias("cell"))
+    listed = met.select("cell", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
 
     def run(_key, sets: pa.Table, pairs: pa.Table) -> pa.Table:
         who, at = np.unique(sets.column("class").to_numpy(), return_inverse=True)
@@ -334,7 +347,7 @@ def links(pairs: DataFrame, places: DataFrame, parts: DataFrame, percent: int) -
         some = both[x, y] > 0
         return pa.table({"a": a[some], "b": b[some], "n_a": n[x][some], "n_b": n[y][some], "partial": both[x, y][some]})
 
-    counted = sets.groupBy(*cell, "fragment").cogroup(listed.groupBy(*cell, "fragment")).applyInArrow(run, "a long, b long, n_a long, n_b long, partial long")
+    counted = sets.groupBy("cell", "fragment").cogroup(listed.groupBy("cell", "fragment")).applyInArrow(run, "a long, b long, n_a long, n_b long, partial long")
     x = counted.groupBy("a", "b").agg(F.sum("partial").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
     return x.where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
 
@@ -384,10 +397,11 @@ def forests(rest: DataFrame, places: DataFrame, parts: DataFrame, percent: int)
     """
     x = rest.join(places, "class").withColumn("block", block_of("class"))
     of = x.groupBy("sig").agg(F.collect_set("block").alias("others"))
-    x = x.join(of, "sig").withColumn("other", F.explode("others"))
+    x = x.join(of, "sig").groupBy("class", "root", "pack", "blocks", "block").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others"))
+    x = x.withColumn("other", F.explode("others"))
     cell = ["small", "pack", "i", "j"]
     x = x.withColumn("small", F.col("blocks") == 1).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    x = x.select(*cell, "class", "root").distinct().join(parts, "class")
+    x = x.select(*cell, "class", "root").hint("merge").join(parts.drop("cells"), "class")
 
     def run(rows: pa.Table) -> pa.Table:
         who, at = np.unique(rows.column("class").to_numpy(), return_inverse=True)
@@ -428,33 +442,37 @@ def grouped(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> tuple[Dat
     copies is not listed pair by pair, and no link between components is lost.  N-grams and sets are known by 64-bit hashes.
     """
     spark = docs.sparkSession
-    sets = staged(sets_of(docs, n), "sets")
-    rows, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    segments_ = ceil(total * 2 * (100 - percent) / percent * 1.1) + 1
-    groups = max(1, ceil(segments_ / ENTRIES), min(parallel, ceil(segments_ / LEAST_ENTRIES)))
-    classes = sets.where("n > 0").groupBy("class").agg(F.min(F.struct(*row_order(), "k")).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    classes = staged(classes, "classes")
-    found = staged(postings(entries(docs, groups, n, percent)), "postings")
-    pairs = staged(found.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    live = found.select("class").distinct()
-    alike = sets.where("n > 0").groupBy("k").agg(F.count("*").alias("alike"))
-    reps = live.join(classes.select("class", F.col("least.k").alias("k")), "class").join(alike, "k")
-    parts = staged(parts_of(docs, staged(reps.select("class", "k", "alike"), "reps"), rows, n), "parts")
-    places = placed(pairs, classes)
-    edges = staged(links(pairs, places, parts, percent), "links")
-    roots = components(edges)
-    more = staged(forests(staged(unsettled(found, roots), "unsettled"), places, parts, percent), "more-links")
-    if not more.isEmpty():
-        edges = edges.unionByName(more)
+    with released(spark) as keep:
+        sets = staged(sets_of(docs, n), "sets")
+        rows, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        segments_ = ceil(total * 2 * (100 - percent) / percent * 1.1) + 1
+        groups = max(1, ceil(segments_ / ENTRIES), min(parallel, ceil(segments_ / LEAST_ENTRIES)))
+        classes = sets.where("n > 0").groupBy("class").agg(F.min(F.struct(*row_order(), "k")).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
+        classes = staged(classes, "classes")
+        found = staged(postings(entries(docs, groups, n, percent)), "postings")
+        pairs = staged(found.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+        places = placed(pairs, classes)
+        met = meetings(pairs, places)
+        alike = sets.where("n > 0").groupBy("k").agg(F.count("*").alias("alike"))
+        reps = cells_of(met).join(classes.select("class", F.col("least.k").alias("k")), "class").join(alike, "k")
+        reps = reps.select("class", "k", "alike", (F.col("alike") > 1).alias("again"), "cells")
+        parts = parts_of(docs, staged(reps, "reps"), rows, n)
+        edges = staged(links(met, parts, percent), "links")
         roots = components(edges)
-    linked = roots.count()
-    ids = classes.join(roots.select(F.col("node").alias("class"), "root"), "class")
-    named = F.struct("least.none", "least.doc_id", "class")
-    least = staged(ids.groupBy("root").agg(F.min(named).alias("first"), F.count("*").alias("classes")), "least", linked)
-    ids = skew_lookup(ids.select("class", "root"), least, "root", "classes", linked, F.col("class")).select("class", "first")
-    ids = classes.join(ids, "class", "left").select("class", "copies", F.coalesce("first", named).alias("l"))
-    return sets, staged(ids.select("class", "copies", F.col("l.doc_id").alias("component_id"), F.col("l.class").alias("winner")), "component-ids")
+        more = staged(forests(staged(unsettled(found, roots), "unsettled"), places, parts, percent), "more-links")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            roots = components(edges)
+        linked = roots.count()
+        ids = classes.join(roots.select(F.col("node").alias("class"), "root"), "class")
+        named = F.struct("least.none", "least.doc_id", "class")
+        least = staged(ids.groupBy("root").agg(F.min(named).alias("first"), F.count("*").alias("classes")), "least", linked)
+        ids = skew_lookup(ids.select("class", "root"), least, "root", "classes", linked, F.col("class")).select("class", "first")
+        ids = classes.join(ids, "class", "left").select("class", "copies", F.coalesce("first", named).alias("l"))
+        ids = staged(ids.select("class", "copies", F.col("l.doc_id").alias("component_id"), F.col("l.class").alias("winner")), "component-ids")
+        keep += [sets, ids]
+    return sets, ids
 
 
 def near_duplicates(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -480,10 +498,10 @@ def one_of_each(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataF
     x = packed(docs, "doc_id", "text")
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     none = unpacked(x.where(~words), docs.columns)
-    x = x.where(words).select("text", "_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("k"))
-    x = skew_lookup(x, keys, "k", "alike", sets.count(), F.length("text")).where("_rows is not null")
+    x = x.where(words).select("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text").alias("k"))
+    x = skew_lookup(x, keys, "k", "alike", sets.count(), F.length("_row.text")).where("_rows is not null")
     once = unpacked(x.where("_rows = 1"), docs.columns)
-    first = F.row_number().over(W.partitionBy("_class").orderBy("text"))
+    first = F.row_number().over(W.partitionBy("_class").orderBy("_row.text"))
     some = unpacked(x.where("_rows > 1").withColumn("_first", first).where("_first = 1"), docs.columns)
     return none.unionByName(once).unionByName(some)
 
