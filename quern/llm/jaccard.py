@@ -23,7 +23,7 @@ ENTRIES, LEAST_ENTRIES = 1 << 20, 1 << 16
 #: Fragments of the order in which the overlaps of a pair are counted, each for itself.
 FRAGMENTS = 8
 #: Sets and n-grams of a block of a cluster, about.
-BLOCK, BLOCK_GRAMS = 256, 1 << 20
+BLOCK, BLOCK_GRAMS = 512, 1 << 20
 
 #: Where sets meet: whether the cluster is of one block, its number, and two of its blocks.
 CELL = pa.struct([("small", pa.bool_()), ("pack", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
