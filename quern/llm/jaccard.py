@@ -22,6 +22,8 @@ CHUNK, BATCH_GRAMS = 1 << 18, 1 << 20
 ENTRIES, LEAST_ENTRIES = 1 << 20, 1 << 16
 #: Fragments of the order in which the overlaps of a pair are counted, each for itself.
 FRAGMENTS = 8
+#: One fragment more for so many n-grams that a linked pair may differ in.
+SLACK = 16
 #: Sets and n-grams of a block of a cluster, about.
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
 
@@ -136,17 +138,24 @@ def with_key(docs: DataFrame) -> DataFrame:
     return x.withColumn("k", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
 
 
-def sets_of(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, k, class (a hash of the set, null if it is empty), n of every row of ``docs``."""
+def sets_of(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """doc_id, k, class (a hash of the set, null if it is empty), n, spare, spare_below (see spare()) of every row of ``docs``."""
+    names = ["doc_id", "k", "class", "n", "spare", "spare_below"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, levels = Hasher(), Levels(percent)
         for b in batches:
-            made = [(class_of(s) if len(s) else None, len(s)) for s in hasher.sets(b.column(2), n)]
-            cols = zip(*made, strict=True) if made else [[]] * 2
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "k", "class", "n"])
+            at, made, some, size = 0, [], [], 0
+            for i, s in enumerate(hasher.sets(b.column(2), n), 1):
+                made.append((class_of(s) if len(s) else None, len(s)))
+                some.append(s)
+                size += len(s)
+                if size >= BATCH_GRAMS // 4 or i == b.num_rows:
+                    cols = [pa.array(c, pa.int64()) for c in (*zip(*made, strict=True), *spare(some, levels, percent))]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(made)), b.column(1).slice(at, len(made)), *cols], names=names)
+                    at, made, some, size = i, [], [], 0
 
-    return with_key(docs).select(F.col("doc_id").cast(LONG), "k", "text").mapInArrow(run, "doc_id long, k long, class long, n long")
+    return with_key(docs).select(F.col("doc_id").cast(LONG), "k", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 class Levels:
@@ -154,7 +163,7 @@ class Levels:
 
     A class holds the sizes that may link with its least, so linked sets are of one class or of neighbours.  With the
     smaller set in a class, a linked pair differs in ``most`` n-grams at most; in more fragments than that the two have
-    the same segment in at least one.
+    the same segment in at least one.  The further fragments are what a set may leave out of its segments: see kept().
     """
 
     def __init__(self, percent: int):
@@ -164,7 +173,32 @@ class Levels:
         top = np.array(least[1:], dtype=np.int64) - 1
         self.least = np.array(least[:-1], dtype=np.int64)
         self.most = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
-        self.fragments = self.most + 2 + self.most // 16
+        self.fragments = self.most + 2 + self.most // SLACK
+
+
+def fragments_of(h: np.ndarray, at: np.ndarray, fragments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fragment of each n-gram, in ``fragments`` equal ranges for its set ``at``; and where a segment begins."""
+    fragment = (h >> np.uint64(32)) * fragments[at].astype(np.uint64) >> np.uint64(32)
+    return fragment, np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (fragment[1:] != fragment[:-1])][: len(h)])
+
+
+def spare(sets: list[np.ndarray], levels: Levels, percent: int) -> list[np.ndarray]:
+    """How many segments each of ``sets`` may leave out, in its own class and in the class below.
+
+    A linked pair has the same segment in all of either set's segments but for the n-grams in which the two may differ:
+    for a set in its own class as many as with the largest set it may link with, in the class below as with the largest
+    there.  One in 256 is held back: signatures have 31 bits in a group, where two segments of a set may collide.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    h, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    own = np.searchsorted(levels.least, sizes, side="right") - 1
+    out = []
+    for level, largest in ((own, sizes * 100 // percent), (own - 1, levels.least[own] - 1)):
+        _, edge = fragments_of(h, at, levels.fragments[level])
+        used = np.bincount(at[edge], minlength=len(sets))
+        most = (sizes + largest) * (100 - percent) // (100 + percent)
+        out.append(np.where(level >= 0, np.maximum(used - most - 1 - used // 256, 0), 0))
+    return out
 
 
 def segments(sets: list[np.ndarray], levels: Levels, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,8 +218,7 @@ def segments(sets: list[np.ndarray], levels: Levels, percent: int) -> tuple[np.n
         for step in (0, 1):
             level = own - step
             used = (level >= 0) & (levels.most[level] > 0)  # else only equal sets link
-            fragment = (h >> np.uint64(32)) * levels.fragments[level][at].astype(np.uint64) >> np.uint64(32)
-            edge = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (fragment[1:] != fragment[:-1])])
+            fragment, edge = fragments_of(h, at, levels.fragments[level])
             of = at[edge]
             place = level[of].astype(np.uint64) << np.uint64(48) | fragment[edge]
             signature = finish(np.add.reduceat(mixed, edge) + finish(place * PRIME))
@@ -264,6 +297,20 @@ def postings(packs: DataFrame) -> DataFrame:
     return packs.groupBy("grp").applyInArrow(run, "sig long, class long, upper boolean, hub long, members long")
 
 
+def kept(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """The postings without the segments that sets may leave out: of each set the most frequent, as many as it can spare.
+
+    Linked sets have more equal segments than either may leave out.  All order segments alike, so the rarest of the equal
+    ones has at least so many before it in both sets, and both keep it.  What only a common passage makes equal goes.
+    """
+    may = classes.select("class", F.lit(False).alias("upper"), F.col("spare").alias("may")).unionByName(classes.select("class", F.lit(True).alias("upper"), F.col("spare_below").alias("may")))
+    x = found.withColumn("place", F.row_number().over(W.partitionBy("class", "upper").orderBy(F.desc("members"), "sig")))
+    x = x.join(may, ["class", "upper"]).where("place > may").select("sig", "class", "upper")
+    x = staged(x, "kept")
+    of = x.groupBy("sig").agg(F.min(F.when(~F.col("upper"), F.col("class"))).alias("hub"), F.count("*").alias("members"))
+    return x.join(of.where("members > 1 and hub is not null"), "sig")
+
+
 def parts_of(docs: DataFrame, reps: DataFrame, rows: int, n: int = N) -> DataFrame:
     """class, cells, fragment, n, grams: the sets of the classes in ``reps`` (class, k, alike: rows of that k; cells), cut by
     the global order.
@@ -443,14 +490,15 @@ def grouped(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> tuple[Dat
     """
     spark = docs.sparkSession
     with released(spark) as keep:
-        sets = staged(sets_of(docs, n), "sets")
+        sets = staged(sets_of(docs, n, percent), "sets")
         rows, total = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
         segments_ = ceil(total * 2 * (100 - percent) / percent * 1.1) + 1
         groups = max(1, ceil(segments_ / ENTRIES), min(parallel, ceil(segments_ / LEAST_ENTRIES)))
-        classes = sets.where("n > 0").groupBy("class").agg(F.min(F.struct(*row_order(), "k")).alias("least"), F.count("*").alias("copies"), F.max("n").alias("n"))
+        classes = sets.where("n > 0").groupBy("class").agg(F.min(F.struct(*row_order(), "k")).alias("least"), F.count("*").alias("copies"), *(F.max(c).alias(c) for c in ("n", "spare", "spare_below")))
         classes = staged(classes, "classes")
         found = staged(postings(entries(docs, groups, n, percent)), "postings")
+        found = staged(kept(found, classes), "kept-postings")
         pairs = staged(found.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
         places = placed(pairs, classes)
         met = meetings(pairs, places)

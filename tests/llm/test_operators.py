@@ -450,6 +450,50 @@ def test_jaccard_of_shared_paragraphs(spark, tables):
     assert listed[2] <= 6 * listed[0] + 2000
 
 
+@pytest.mark.parametrize("n", [200, 400])
+def test_jaccard_of_a_common_passage(spark, tables, monkeypatch, n):
+    """A passage that is in every document pairs none of them but the near copies, and hides none of those."""
+    seen = []
+    monkeypatch.setattr(jaccard, "placed", lambda pairs, classes, real=jaccard.placed: seen.append(pairs.count()) or real(pairs, classes))
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage, docs = " ".join(word() for _ in range(40)), []
+    for i in range(n):
+        own = [word() for _ in range(240)]
+        docs.append(" ".join(own) + "\n" + passage)
+        for _ in range(3 * (i % 50 == 0)):
+            docs.append(" ".join([word() if rng.random() < 0.015 else w for w in own]) + "\n" + passage)
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(docs)]
+    got = {r.doc_id: r.component_id for r in queries.QUERIES["op8_jaccard"](spark, tables(documents=docs)).collect()}
+    want = brute.components([d[:2] for d in docs])
+    assert [got[i] for i in range(len(docs))] == want and len(set(want)) < len(docs) - n // 50
+    assert seen[0] <= 6 * n // 50  # each pair within a group of four
+
+
+def test_jaccard_spares_no_link():
+    """Of the segments that linked sets have in common, one stays at least, however often each is found."""
+    import numpy as np
+
+    rng = np.random.default_rng(17)
+    levels = jaccard.Levels(85)
+    for n in [*range(2, 40), 90, 400, 2000] * 3:
+        grams = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        gone = int(rng.integers(0, n * 15 // 100 + 1))
+        more = int(rng.integers(0, max(0, (n - gone) * 100 // 85 - n) + 1))
+        a, b = np.sort(grams[:n]), np.sort(np.r_[grams[gone:n], grams[n : n + more]])
+        signature, at, step = jaccard.segments([a, b], levels, 85)
+        may = jaccard.spare([a, b], levels, 85)
+        order = {x: rng.random() for x in signature.tolist()}
+        left = []
+        for i in (0, 1):
+            for k in (0, 1):
+                own = sorted(set(signature[(at == i) & (step == k)].tolist()), key=order.get)
+                left.append({(x, k) for x in own[int(may[k][i]) :]})
+        left = [left[0] | left[1], left[2] | left[3]]
+        if (a.size, b.size) != (n, n) or gone:  # else they are equal, and one class
+            assert any(x == y and not (k and m) for x, k in left[0] for y, m in left[1]) or levels.most[np.searchsorted(levels.least, min(len(a), len(b)), side="right") - 1] == 0, (n, gone, more)
+
+
 def test_hasher():
     """Words and shingles against one text at a time, whatever the texts are read with."""
     import pyarrow as pa
