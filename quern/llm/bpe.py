@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm.common import only, table
+from quern.llm.common import give_back, only, table
 
 FREE, NONE = np.int64(-1), np.int32(2**31 - 1)
 #: Widths of the matrices; a piece of more bytes than the last is merged with a heap, whose time is n log n.
@@ -72,6 +72,7 @@ class Coder:
         for t, r in self.ranks.items():
             self.tokens[r] = t
         self.names = [str(i) for i in range(len(self.tokens))]
+        self.ids = list(range(len(self.tokens)))
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left, right, merged = (np.array(c, dtype=np.int32) for c in zip(*pairs, strict=True))
@@ -171,17 +172,20 @@ class Coder:
         coded = [w.encode() for w in new]
         size = sum(map(len, coded))
         if len(known) + len(new) > CACHED or self.held + size > CACHED_BYTES:
-            known.clear()
-            self.held = 0
+            self.forget()
             new = list({w for words in split for w in words})
             coded = [w.encode() for w in new]
             size = sum(map(len, coded))
         self.held += size
         for w, ids in zip(new, self.pieces(coded), strict=True):
-            known[w] = tuple(ids)
+            known[w] = tuple(map(self.ids.__getitem__, ids))  # one object for each id, however many words have it
         for words in split:
             yield list(chain.from_iterable(map(known.__getitem__, words)))
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -195,11 +199,11 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def parts(texts: list[str | None]) -> Iterator[list[str]]:
+def parts(texts: pa.Array) -> Iterator[list[str]]:
     """Runs of texts of about CHUNK characters, so that a batch's words are never all in memory."""
     part, n = [], 0
     for t in texts:
-        part.append(t or "")
+        part.append(t.as_py() or "")
         n += len(part[-1])
         if n >= CHUNK:
             yield part
@@ -218,14 +222,18 @@ def encoded(docs: DataFrame, path: str, pattern: str, *, keep_ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path, pattern)
-        for b in batches:
-            ids, at = b.column(0).to_pylist(), 0
-            for part in parts(b.column(1).to_pylist()):
-                rows = []
-                for tokens in code.encode(part):
-                    rows.append((ids[at], len(tokens), hashlib.sha256(code.text_of(tokens).encode()).hexdigest(), hashlib.sha256(code.decode(tokens)).hexdigest()) + ((tokens,) if keep_ids else ()))
-                    at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+        try:
+            for b in batches:
+                ids, at = b.column(0).to_pylist(), 0
+                for part in parts(b.column(1)):
+                    rows = []
+                    for tokens in code.encode(part):
+                        rows.append((ids[at], len(tokens), hashlib.sha256(code.text_of(tokens).encode()).hexdigest(), hashlib.sha256(code.decode(tokens)).hexdigest()) + ((tokens,) if keep_ids else ()))
+                        at += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+        finally:
+            code.forget()
+            give_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return only(docs, "doc_id", "text").mapInArrow(run, schema)

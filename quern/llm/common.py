@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +89,16 @@ def released(spark: SparkSession):
         _STAGED[start:] = [p for p in _STAGED[start:] if p in kept]
 
 
+def give_back() -> None:
+    """Memory that this process holds free goes back to the system.
+
+    A Python worker outlives its task: what it keeps stands beside the executor's heap while later stages run.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

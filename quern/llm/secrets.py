@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import only, packed, pinned, staged, table, unpacked
+from quern.llm.common import only, pinned, staged, table, unpacked
 
 # Fixed values of the contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -239,7 +239,9 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     A null text stays null, and a text without secrets stays as it is.  ``n_chars``, where there is one, follows the text.
     """
-    x = scanned(packed(docs, "text"), "text", "_row")
+    # the text is carried once: in its place the row tells whether it is null
+    row = F.struct(*(F.col("text").isNull().alias(n) if n == "text" else F.col(f"`{n}`") for n in docs.columns))
+    x = scanned(docs.select("text", row.alias("_row")), "text", "_row")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -248,8 +250,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     x = pinned(x, _spans=in_order(KINDS))
     done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc.out, F.substring(F.col("text"), acc.at + 1, F.length("text"))))
-    old = F.col("_row").getField("text")
-    x = pinned(x, _text=F.when(old.isNotNull() & (F.size("_spans") > 0), done).otherwise(old))
+    x = pinned(x, _text=F.when(~F.col("_row").getField("text"), F.when(F.size("_spans") > 0, done).otherwise(F.col("text"))))
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.size("_spans") > 0, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row").getField("n_chars"))

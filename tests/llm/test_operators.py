@@ -251,6 +251,17 @@ def test_redacted(spark, tables, docs, sample):
     assert rows(got, "doc_id", "text", "n_chars", "hex") == sorted(want, key=repr)
 
 
+def test_redacted_carries_a_text_once(spark, tables, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secrets, "staged", lambda df, name, real=secrets.staged: seen.append(df) or real(df, name))
+    x = spark.read.parquet(tables(documents=docs + [(90, None, "en", "s", None)]) + "/documents.parquet")
+    got = secrets.redacted(x)
+    assert sorted((r.text is None) for r in got.collect()) == sorted((d[1] is None) for d in [*docs, (90, None)])
+    names = {"doc_id", "text", "lang", "source", "n_chars"}
+    assert len(seen) == 1 and set(seen[0].schema["_row"].dataType.names) == names
+    assert seen[0].schema["text"].dataType.simpleString() == "string" and seen[0].schema["_row"].dataType["text"].dataType.simpleString() == "boolean"
+
+
 def test_redacted_random_values(spark, tables):
     """What the battery finds is masked too, and neighbouring text stays."""
     rng = random.Random(18)
@@ -361,6 +372,28 @@ def test_bpe(spark, tables, docs, sample, tiktoken_encoding):
     assert rows(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
 
 
+def test_bpe_workers_keep_no_words(spark, tables, sample):
+    """Words are remembered for a task, not for as long as its Python worker lives; equal ids are one object."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    queries.QUERIES["op7_bpe"](spark, tables(documents=[(i, t, "en", "s", 0) for i, t in sample])).collect()
+
+    def held(batches):
+        for _ in batches:
+            pass
+        code = bpe.coder(path, pattern)
+        yield pa.RecordBatch.from_pydict({"n": [len(code.known)], "held": [code.held]})
+
+    assert {(r.n, r.held) for r in spark.range(16, numPartitions=16).mapInArrow(held, "n long, held long").collect()} == {(0, 0)}
+    code = bpe.Coder(path, pattern)
+    for _ in code.encode([t or "" for _, t in sample]):
+        pass
+    every = [i for ids in code.known.values() for i in ids]
+    assert len({id(i) for i in every}) == len(set(every)) < len(every)
+
+
 def test_pair_table():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 50_000, (20_000, 2)), axis=0).astype(np.int32)
