@@ -26,6 +26,8 @@ FRAGMENTS = 8
 SLACK = 16
 #: Sets and n-grams of a block of a cluster, about.
 BLOCK, BLOCK_GRAMS = 512, 1 << 20
+#: N-grams of listed pairs that are looked up together.
+PROBES = 1 << 20
 
 #: Where sets meet: whether the cluster is of one block, its number, and two of its blocks.
 CELL = pa.struct([("small", pa.bool_()), ("pack", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
@@ -377,7 +379,7 @@ def cells_of(met: DataFrame) -> DataFrame:
 def links(met: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link: overlaps are counted in each fragment of the order by itself and summed per pair.
 
-    The sets of a cell meet in one group for each fragment.
+    The sets of a cell meet in one group for each fragment, which counts for the listed pairs only.
     """
     sets = parts.select("class", "fragment", "n", "grams", F.explode("cells").alias("cell"))
     listed = met.select("cell", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
@@ -386,13 +388,13 @@ def links(met: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
         who, at = np.unique(sets.column("class").to_numpy(), return_inverse=True)
         n = np.zeros(len(who), np.int64)
         n[at] = sets.column("n").to_numpy()
-        both = overlaps([cells(sets, at)], len(who)) if len(who) else np.zeros((0, 0), np.int64)
         a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
         known = np.isin(a, who) & np.isin(b, who)  # else one has no n-gram here
         a, b = a[known], b[known]
         x, y = np.searchsorted(who, a), np.searchsorted(who, b)
-        some = both[x, y] > 0
-        return pa.table({"a": a[some], "b": b[some], "n_a": n[x][some], "n_b": n[y][some], "partial": both[x, y][some]})
+        both = partials(*cells(sets, at), x, y, len(who))
+        some = both > 0
+        return pa.table({"a": a[some], "b": b[some], "n_a": n[x][some], "n_b": n[y][some], "partial": both[some]})
 
     counted = sets.groupBy("cell", "fragment").cogroup(listed.groupBy("cell", "fragment")).applyInArrow(run, "a long, b long, n_a long, n_b long, partial long")
     x = counted.groupBy("a", "b").agg(F.sum("partial").alias("both"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
@@ -415,6 +417,31 @@ def cells(sets: pa.Table, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(at, grams.value_lengths().to_numpy()), grams.flatten().to_numpy()
 
 
+def partials(row: np.ndarray, grams: np.ndarray, x: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+    """Sizes of the intersections of the sets ``x`` with the sets ``y``, pair by pair, of ``m`` sets given as (set, n-gram).
+
+    The n-grams of a pair's smaller set are looked up in the larger, so time and memory grow with the pairs, not with the
+    square of the sets.
+    """
+    _, at, count = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = count[at] > 1  # the others are in no intersection
+    row, at = row[shared], at[shared]
+    key = np.sort(row * len(count) + at)
+    size = np.bincount(row, minlength=m)
+    start = np.cumsum(size) - size
+    x, y = np.where(size[x] <= size[y], x, y), np.where(size[x] <= size[y], y, x)
+    out, upto, a = np.zeros(len(x), np.int64), np.cumsum(size[x]), 0
+    while a < len(x):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PROBES, side="right")))
+        k = size[x[a:b]]
+        place = np.arange(k.sum()) + np.repeat(start[x[a:b]] - (np.cumsum(k) - k), k)
+        wanted = key[place] + np.repeat((y[a:b] - x[a:b]) * len(count), k)
+        found = key[np.minimum(np.searchsorted(key, wanted), len(key) - 1)] == wanted
+        out[a:b] = np.bincount(np.repeat(np.arange(b - a), k)[found], minlength=b - a)
+        a = b
+    return out
+
+
 def overlaps(fragments: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     """Sizes of all intersections of ``m`` sets, from the (set, n-gram) of each fragment: partial overlaps are counted
     fragment by fragment, and summed per pair."""

@@ -527,6 +527,29 @@ def test_jaccard_spares_no_link():
             assert any(x == y and not (k and m) for x, k in left[0] for y, m in left[1]) or levels.most[np.searchsorted(levels.least, min(len(a), len(b)), side="right") - 1] == 0, (n, gone, more)
 
 
+def test_partial_overlaps_of_listed_pairs(monkeypatch):
+    """Each listed pair's overlap, in memory that does not grow with the square of the sets."""
+    import tracemalloc
+
+    rng = np.random.default_rng(23)
+    for m, pairs, probes in ((1, 0, 7), (2, 1, 7), (30, 200, 7), (30, 200, 1 << 20)):
+        monkeypatch.setattr(jaccard, "PROBES", probes)
+        sets = [rng.choice(60, int(k), replace=False) * 1_000_003 - 7 for k in rng.integers(0, 40, m)]
+        order = rng.permutation(sum(map(len, sets)))
+        row, grams = np.repeat(np.arange(m), [len(s) for s in sets])[order], np.concatenate(sets)[order].astype(np.int64)
+        x, y = rng.integers(0, m, pairs), rng.integers(0, m, pairs)
+        x, y = x[x != y], y[x != y]
+        want = [len(set(sets[i].tolist()) & set(sets[j].tolist())) for i, j in zip(x, y)]
+        assert jaccard.partials(row, grams, x, y, m).tolist() == want
+    m = 10_000
+    row, grams = np.repeat(np.arange(m), 50), np.tile(np.arange(50), m)
+    tracemalloc.start()
+    got = jaccard.partials(row, grams, np.arange(1, m), np.zeros(m - 1, np.int64), m)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == 50).all() and peak < 4 * m * m  # of a matrix of all pairs, in bytes
+
+
 def test_hasher():
     """Words and shingles against one text at a time, whatever the texts are read with."""
     import pyarrow as pa
