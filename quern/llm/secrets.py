@@ -85,36 +85,45 @@ def p_random(v: Column, k: Column, classes: Column, kinds: Column) -> Column:
     (``kinds``: the class of each character), and serial correlation.
     """
     n = F.size(v).cast("double")
-    chi = k / n * total(F.transform(F.array_distinct(v), lambda d: F.pow(F.size(F.filter(v, lambda x: x == d)).cast("double"), F.lit(2.0)))) - n
-    z_chi = F.greatest(F.lit(0.0), (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
-    chi_class = total(F.transform(classes, lambda c: F.pow(c.count - n * c.share, F.lit(2.0)) / (n * c.share)))
-    df = F.greatest(F.size(classes) - 1, F.lit(1)).cast("double")
-    z_class = F.greatest(F.lit(0.0), (chi_class - df) / F.sqrt(2 * df))
     middle = (k - 1) / 2
     a, b = F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1)
-    high = total(F.transform(v, lambda x: F.when(x > middle, 1.0).otherwise(0.0)))
-    runs = total(F.zip_with(a, b, lambda x, y: F.when((x > middle) != (y > middle), 1.0).otherwise(0.0))) + 1
-    mean = 2 * high * (n - high) / n + 1
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    z_runs = F.when(spread > 0, (runs - mean) / F.sqrt(spread)).otherwise(F.lit(9.0))
-    same = total(F.transform(classes, lambda c: c.share * c.share))
-    turns = total(F.zip_with(F.slice(kinds, 1, F.size(v) - 1), F.slice(kinds, 2, F.size(v) - 1), lambda x, y: F.when(x != y, 1.0).otherwise(0.0)))
-    z_turns = (turns - (n - 1) * (1 - same)) / F.sqrt((n - 1) * same * (1 - same))
-    z_serial = total(F.zip_with(a, b, lambda x, y: (x - middle) * (y - middle))) / ((k * k - 1) / 12) / F.sqrt(n - 1)
-    y = -(tail(z_chi) + tail(z_class) + tail(z_runs) + tail(z_turns) + tail(z_serial))
-    return F.exp(-y) * (1 + y + y * y / 2 + F.pow(y, F.lit(3.0)) / 6 + F.pow(y, F.lit(4.0)) / 24)
+
+    # What is used more than once is bound: a plan that repeats it grows with the product of all uses, in the driver's memory.
+    def sums(of: Column) -> Column:
+        chi = k / n * total(F.transform(F.array_distinct(v), lambda d: F.pow(F.size(F.filter(v, lambda x: x == d)).cast("double"), F.lit(2.0)))) - n
+        chi_class = total(F.transform(of.classes, lambda c: F.pow(c.count - n * c.share, F.lit(2.0)) / (n * c.share)))
+        df = F.greatest(F.size(of.classes) - 1, F.lit(1)).cast("double")
+        high = total(F.transform(v, lambda x: F.when(x > middle, 1.0).otherwise(0.0)))
+        runs = total(F.zip_with(a, b, lambda x, y: F.when((x > middle) != (y > middle), 1.0).otherwise(0.0))) + 1
+        same = total(F.transform(of.classes, lambda c: c.share * c.share))
+        turns = total(F.zip_with(F.slice(of.kinds, 1, F.size(v) - 1), F.slice(of.kinds, 2, F.size(v) - 1), lambda x, y: F.when(x != y, 1.0).otherwise(0.0)))
+        serial = total(F.zip_with(a, b, lambda x, y: (x - middle) * (y - middle)))
+        named = {"chi": chi, "chi_class": chi_class, "df": df, "high": high, "runs": runs, "same": same, "turns": turns, "serial": serial}
+        return F.struct(*(c.alias(name) for name, c in named.items()))
+
+    def scores(of: Column) -> Column:
+        z_chi = F.greatest(F.lit(0.0), (of.chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n))
+        z_class = F.greatest(F.lit(0.0), (of.chi_class - of.df) / F.sqrt(2 * of.df))
+        mean = 2 * of.high * (n - of.high) / n + 1
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        z_runs = F.when(spread > 0, (of.runs - mean) / F.sqrt(spread)).otherwise(F.lit(9.0))
+        z_turns = (of.turns - (n - 1) * (1 - of.same)) / F.sqrt((n - 1) * of.same * (1 - of.same))
+        z_serial = of.serial / ((k * k - 1) / 12) / F.sqrt(n - 1)
+        named = {"chi": z_chi, "classes": z_class, "runs": z_runs, "turns": z_turns, "serial": z_serial}
+        return F.struct(*(c.alias(name) for name, c in named.items()))
+
+    tails = lambda z: -(tail(z.chi) + tail(z.classes) + tail(z.runs) + tail(z.turns) + tail(z.serial))
+    p = lambda y: F.exp(-y) * (1 + y + y * y / 2 + F.pow(y, F.lit(3.0)) / 6 + F.pow(y, F.lit(4.0)) / 24)
+    given = F.struct(classes.alias("classes"), kinds.alias("kinds"))
+    return bind(given, lambda of: bind(sums(of), lambda of: bind(scores(of), lambda z: bind(tails(z), p))))
 
 
 def tested(run: Column) -> Column:
     """band and bin of a run (a struct), null where no encoding is inferred or its least length is missed."""
-    body = F.regexp_replace(run, "=+$", "")
-
-    def inferred(said: Column) -> Column:
+    def inferred(said: Column, body: Column) -> Column:
         return F.coalesce(*(F.when(said.rlike(pattern) & (F.length(body) >= least), F.lit(alphabet)) for pattern, alphabet, least in ENCODINGS))
 
-    case = F.coalesce(inferred(run), F.when(body != run, inferred(body)))
-
-    def test(alphabet: Column) -> Column:
+    def test(alphabet: Column, body: Column) -> Column:
         k = F.length(alphabet).cast("double")
         codes = F.transform(F.split(body, ""), lambda c: (F.position(c, alphabet) - 1).cast("double"))
         count = lambda s, one: F.regexp_count(s, F.lit(one)).cast("double")
@@ -122,14 +131,18 @@ def tested(run: Column) -> Column:
         kinds = F.transform(F.split(body, ""), lambda c: F.when(c.rlike("[0-9]"), 0).when(c.rlike("[A-Z]"), 1).otherwise(2))
         return bind(codes, lambda v: p_random(v, k, classes, kinds))
 
-    p = F.when(case.isNotNull(), bind(case, test))
+    def p_of(body: Column) -> Column:
+        case = F.coalesce(inferred(run, body), F.when(body != run, inferred(body, body)))
+        return bind(case, lambda alphabet: F.when(alphabet.isNotNull(), test(alphabet, body)))
+
     n = F.length(run)
     band = F.lit(len(BANDS))
     for i, end in reversed(list(enumerate(BANDS))):
         band = F.when(n <= end, F.lit(i)).otherwise(band)
     # greatest() and least() skip nulls: without the condition an untested run would count as p = 0
-    bin_ = F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-300)))).cast("int")
-    return F.struct(band.alias("band"), F.when(p.isNotNull(), F.least(F.lit(BINS - 1), F.greatest(F.lit(0), bin_))).alias("bin"))
+    bin_ = lambda p: F.floor(-4 * F.log10(F.greatest(p, F.lit(1e-300)))).cast("int")
+    known = lambda p: F.when(p.isNotNull(), F.least(F.lit(BINS - 1), F.greatest(F.lit(0), bin_(p))))
+    return F.struct(band.alias("band"), bind(bind(F.regexp_replace(run, "=+$", ""), p_of), known).alias("bin"))
 
 
 def with_runs(x: DataFrame) -> DataFrame:

@@ -262,6 +262,15 @@ def test_redacted_carries_a_text_once(spark, tables, docs, monkeypatch):
     assert seen[0].schema["text"].dataType.simpleString() == "string" and seen[0].schema["_row"].dataType["text"].dataType.simpleString() == "boolean"
 
 
+def test_secrets_have_a_small_plan(spark, tables, docs, monkeypatch):
+    """Expressions used more than once are bound, not copied: planning them fills the driver's memory."""
+    seen = []
+    monkeypatch.setattr(secrets, "staged", lambda df, name, real=secrets.staged: seen.append(df) or real(df, name))
+    got = secrets.redacted(spark.read.parquet(tables(documents=docs) + "/documents.parquet"))
+    sizes = [len(df._jdf.queryExecution().optimizedPlan().toString()) for df in (*seen, got)]
+    assert len(sizes) == 2 and max(sizes) < 50_000, sizes
+
+
 def test_redacted_random_values(spark, tables):
     """What the battery finds is masked too, and neighbouring text stays."""
     rng = random.Random(18)
