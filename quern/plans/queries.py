@@ -188,14 +188,14 @@ PARQUET = "SELECT DISTINCT p_name, 1::BIGINT AS n FROM part"
 
 
 def dtype_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All twelve types, through a write and a scan."""
-    types = {"u8": "uint8", "u16": "uint16", "u32": "uint32", "u64": "uint64", "i8": "int8", "i16": "int16", "i32": "int32", "i64": "int64", "f32": "float32", "f64": "float64", "b": "bool", "s": "utf8"}
-    values = {"u8": F.col("l_linenumber"), "u16": F.col("l_partkey"), "u32": F.col("l_orderkey"), "u64": F.col("l_orderkey"), "i8": -F.col("l_linenumber"), "i16": -F.col("l_linenumber"), "i32": -F.col("l_orderkey").cast("int"), "i64": -F.col("l_orderkey"), "f32": F.col("l_discount"), "f64": F.col("l_extendedprice"), "b": F.col("l_returnflag") == "R", "s": F.col("l_linestatus")}
+    """All twelve types, through a write and a scan.  A part's key may need more than 16 bits: u16 has the low ones, above the others."""
+    types = {"u8": "uint8", "u16": "uint16", "above": "int64", "u32": "uint32", "u64": "uint64", "i8": "int8", "i16": "int16", "i32": "int32", "i64": "int64", "f32": "float32", "f64": "float64", "b": "bool", "s": "utf8"}
+    values = {"u8": F.col("l_linenumber"), "u16": F.col("l_partkey").bitwiseAND(0xFFFF), "above": F.shiftright("l_partkey", 16), "u32": F.col("l_orderkey"), "u64": F.col("l_orderkey"), "i8": -F.col("l_linenumber"), "i16": -F.col("l_linenumber"), "i32": -F.col("l_orderkey"), "i64": -F.col("l_orderkey"), "f32": F.col("l_discount"), "f64": F.col("l_extendedprice"), "b": F.col("l_returnflag") == "R", "s": F.col("l_linestatus")}
     e = engine(spark, "lines")
     e.create_table("lines", TableSchema("key", {"key": ColumnSchema("utf8")} | {n: ColumnSchema(t) for n, t in types.items()}))
     x = table(spark, sf_dir, "lineitem")
     e.write("lines", x.select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_extendedprice", "l_returnflag", "l_linestatus").alias("key"), *(v.cast(DTYPES[types[n]].spark).alias(n) for n, v in values.items())))
-    return e.scan("lines").drop("key").groupBy("s", "b", "u8").agg(F.count("*").alias("n"), F.sum("u16").alias("u16"), F.sum("u32").alias("u32"), F.max("u64").cast("long").alias("u64"), F.min("i8").alias("i8"), F.min("i16").alias("i16"), F.min("i32").alias("i32"), F.sum("i64").alias("i64"), F.max("f32").alias("f32"), F.max("f64").alias("f64"))
+    return e.scan("lines").drop("key").groupBy("s", "b", "u8").agg(F.count("*").alias("n"), F.sum(F.col("above") * 65536 + F.col("u16")).alias("u16"), F.sum("u32").alias("u32"), F.max("u64").cast("long").alias("u64"), F.min("i8").alias("i8"), F.min("i16").alias("i16"), F.min("i32").alias("i32"), F.sum("i64").alias("i64"), F.max("f32").alias("f32"), F.max("f64").alias("f64"))
 
 
 MATRIX = """

@@ -1,6 +1,8 @@
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quern.plans import edges
@@ -48,3 +50,16 @@ def test_projection_of_every_order(spark, sf_dir, con):
     out = with_orders(spark, sf_dir).fetch("orders", numbered([str(i) for i in range(last + 100)], spark), names)
     got = sorted(tuple(r) for r in out.select("ord", *names).collect())
     assert got == con.execute(f"SELECT r.range, {', '.join(names)} FROM range(0, {last + 100}) r LEFT JOIN orders ON o_orderkey = r.range ORDER BY 1").fetchall()
+
+
+@pytest.mark.parametrize(("parts", "orders"), [([0, 65535, 65536, 131071, 2**32 + 5, 2**40, None], [1]), ([7], [2**31 - 1, 2**31])])
+def test_types_of_large_keys(spark, tmp_path, parts, orders):
+    """Keys beyond the narrow types, as larger tables have them: more than 16 bits of a part, the last order whose negative fits 32."""
+    rows = [(o, p, 1 + i % 2, 100.0 + i, 0.05, "R", "O") for o in orders for i, p in enumerate(parts) for _ in range(2)]
+    kinds = {"l_orderkey": pa.int64(), "l_partkey": pa.int64(), "l_linenumber": pa.int32(), "l_extendedprice": pa.float64(), "l_discount": pa.float64(), "l_returnflag": pa.string(), "l_linestatus": pa.string()}
+    pq.write_table(pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds)), tmp_path / "lineitem.parquet")
+    df = QUERIES["dtype_matrix"](spark, f"file://{tmp_path}")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = sorted(c.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL['dtype_matrix']})").fetchall())
+    assert sorted(map(tuple, df.collect())) == want and len(want) == min(2, len(parts))
